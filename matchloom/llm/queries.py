@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import concat_cut, line_cuckoo, repetition, wu_manber
+from . import concat_cut, line_cuckoo, partenum, repair_tokens, repetition, wu_manber
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,10 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_tokens.encode_and_read(_documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"), mode="byte", end_id=2)
+
+
 def op2_repetition_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text")
     return repetition.repetition_quality(docs).drop("text")
@@ -44,16 +48,39 @@ def op9_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.similar_components(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_repair_tokens": op1_repair_tokens,
     "op2_repetition_quality": op2_repetition_quality,
     "op7_line_dedup": op7_line_dedup,
     "op8_concat_cut": op8_concat_cut,
     "op9_wu_manber": op9_wu_manber,
+    "op10_partenum": op10_partenum,
 }
 
 _SPACE = r"[\x20\x09-\x0D]"
 
 ORACLE_SQL: dict[str, str] = {
+    "op10_partenum": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS x FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(x, i, i + least(5, len(x)) - 1), ' ') AS k
+  FROM (SELECT doc_id, x, unnest(generate_series(1, len(x) - least(5, len(x)) + 1)) AS i FROM w WHERE len(x) > 0)
+), n AS (
+  SELECT documents.doc_id, coalesce(c, 0) AS n_shingles FROM documents LEFT JOIN (SELECT doc_id, count(*) AS c FROM s GROUP BY doc_id) z ON documents.doc_id = z.doc_id
+), p AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS both_have FROM s a JOIN s b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
+), e AS (
+  SELECT u, v FROM p JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * both_have >= 80 * (a.n_shingles + b.n_shingles - both_have)
+), r(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.v FROM r JOIN e ON r.other = e.u
+)
+SELECT n.doc_id, n.n_shingles, min(r.other) AS component_id FROM n JOIN r ON r.doc_id = n.doc_id GROUP BY n.doc_id, n.n_shingles
+""",
     "op7_line_dedup": r"""
 WITH l AS (
   SELECT doc_id, i, line, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k

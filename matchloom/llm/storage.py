@@ -55,6 +55,15 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def bucket_keys(spark: SparkSession, n: int) -> list[int]:
+    """n integers that ``repartition(n, column)`` deals to n different partitions."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(40 * n).select(F.col("id").cast("int").alias("key"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("part"))
+    found = {r["part"]: r["key"] for r in rows.groupBy("part").agg(F.min("key").alias("key")).collect()}
+    return [found.get(p, p) for p in range(n)]
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:
