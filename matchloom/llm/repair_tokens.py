@@ -35,7 +35,7 @@ MAGIC = b"RPG1"
 _HEAD = struct.Struct("<4sIIIIQB3x")
 SHARD_IDS = 1 << 19
 MIN_COUNT = 6
-ROUNDS = 24
+ROUNDS = 20
 #: Symbols of two bytes where the vocabulary leaves room for this many rules.
 NARROW = 1 << 16
 SHARD_SCHEMA = "part int, number int, start long, n_docs int, n_ids long, payload binary"
@@ -88,10 +88,13 @@ class Grammar:
         return self.expand(self.symbols[a : b + 1])[start - before : stop - before]
 
 
-def _merge(symbols: np.ndarray, rank: np.ndarray) -> np.ndarray:
+def _merge(rank: np.ndarray) -> np.ndarray:
     """Places whose pair is replaced: of overlapping pairs the better ranked, of equal ones the first."""
-    n, rank, found = len(rank), rank.copy(), []
-    before, after = np.empty(n, np.int64), np.empty(n, np.int64)
+    n, found = len(rank) + 1, []
+    place = np.arange(len(rank))
+    begin = np.append(True, rank[1:] != rank[:-1])  # equal neighbours: a run of one symbol, whose every other pair counts
+    rank = np.where((place - np.maximum.accumulate(np.where(begin, place, 0))) % 2 == 0, rank, n)
+    before, after = np.empty(len(rank), np.int64), np.empty(len(rank), np.int64)
     for _ in range(3):
         before[0] = after[-1] = n
         before[1:], after[:-1] = rank[:-1], rank[1:]
@@ -100,57 +103,71 @@ def _merge(symbols: np.ndarray, rank: np.ndarray) -> np.ndarray:
             break
         found.append(at)
         for k in (-1, 0, 1):
-            rank[np.clip(at + k, 0, n - 1)] = n
+            rank[np.clip(at + k, 0, len(rank) - 1)] = n
     return np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
 
+def _frequent(symbols: np.ndarray, floor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the pairs at least a third as frequent as the most frequent one; the pairs, and how often they occur.
+
+    Counts in hashed bins are never below the true ones, so the places of rare bins
+    are passed over before the exact count.
+    """
+    a, b = symbols[:-1], symbols[1:]
+    bins = ((a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA77)) >> np.uint32(14)).astype(np.int64)
+    tally = np.bincount(bins, minlength=1 << 18)
+    least = int(tally.max()) // 3
+    while True:
+        least = max(floor, least)
+        places = np.flatnonzero((tally >= least)[bins])
+        pair, count = np.unique((a[places].astype(U) << U(32)) | b[places], return_counts=True)
+        if least == floor or (count >= least).any():
+            return places, pair[count >= least], count[count >= least]
+        least //= 2
+
+
 def compress(ids: np.ndarray, base: int, min_count: int = MIN_COUNT, rounds: int = ROUNDS, limit: int | None = None) -> Grammar:
-    """Re-Pair in rounds: a round replaces all pairs at least half as frequent as the most frequent one."""
-    symbols = ids.astype(np.int64)
+    """Re-Pair in rounds, each of which replaces all of the most frequent pairs."""
+    symbols = ids.astype(np.uint32)
     limit = limit or max(NARROW, base + len(ids))
-    left: list[np.ndarray] = []
-    right: list[np.ndarray] = []
-    known, names, nxt = np.zeros(0, np.int64), np.zeros(0, np.int64), base
+    rules: list[np.ndarray] = []
+    known, names, nxt = np.zeros(0, U), np.zeros(0, np.uint32), base
     for _ in range(rounds):
         if len(symbols) < 2 or nxt >= limit:
             break
-        pair = (symbols[:-1] << 32) | symbols[1:]
-        distinct, count = np.unique(pair, return_counts=True)
-        most = int(count.max())
-        if most < min_count:
+        places, pairs, count = _frequent(symbols, min_count)
+        if not len(pairs):
             break
-        chosen = np.flatnonzero(count >= max(min_count, most // 2))
-        chosen = chosen[np.lexsort((mix(distinct[chosen].view(U)), -count[chosen]))][: limit - nxt]
-        order = np.sort(distinct[chosen])
-        rank_of = np.empty(len(order), np.int64)
-        rank_of[np.searchsorted(order, distinct[chosen])] = np.arange(len(order))
-        at = np.minimum(np.searchsorted(order, pair), len(order) - 1)
-        places = _merge(symbols, np.where(order[at] == pair, rank_of[at], len(pair)))
-        used, inverse, times = np.unique(pair[places], return_inverse=True, return_counts=True)
-        place_known = np.minimum(np.searchsorted(known, used), max(len(known) - 1, 0))
-        old = known[place_known] == used if len(known) else np.zeros(len(used), bool)
-        worth = old | (times >= 3)  # a new rule costs two symbols and its length
-        new = np.flatnonzero(worth & ~old)
-        name = np.zeros(len(used), np.int64)
+        rank_of = np.empty(len(pairs), np.int64)
+        rank_of[np.lexsort((mix(pairs), -count))] = np.arange(len(pairs))
+        at_place = (symbols[places].astype(U) << U(32)) | symbols[places + 1]
+        at = np.minimum(np.searchsorted(pairs, at_place), len(pairs) - 1)
+        rank = np.full(len(symbols) - 1, len(symbols), np.int64)
+        rank[places] = np.where(pairs[at] == at_place, rank_of[at], len(symbols))
+        chosen = _merge(rank)
+        used, inverse, times = np.unique((symbols[chosen].astype(U) << U(32)) | symbols[chosen + 1], return_inverse=True, return_counts=True)
+        name, old = np.zeros(len(used), np.uint32), np.zeros(len(used), bool)
         if len(known):
-            name[old] = names[place_known[old]]
-        name[new] = nxt + np.arange(len(new))
+            place = np.minimum(np.searchsorted(known, used), len(known) - 1)
+            old = known[place] == used
+            name[old] = names[place[old]]
+        new = np.flatnonzero(~old & (times >= 3))[: limit - nxt]  # a new rule costs two symbols and its length
+        worth = old.copy()
+        worth[new] = True
         if not worth.any():
             break
-        left.append(used[new] >> 32)
-        right.append(used[new] & 0xFFFFFFFF)
+        name[new] = nxt + np.arange(len(new))
         nxt += len(new)
-        known = np.concatenate([known, used[new]])
-        names = np.concatenate([names, name[new]])
-        by = np.argsort(known)
-        known, names = known[by], names[by]
-        kept = places[worth[inverse]]
-        symbols[kept] = name[inverse[worth[inverse]]]
+        rules.append(used[new])
+        order = np.argsort(np.concatenate([known, used[new]]))
+        known, names = np.concatenate([known, used[new]])[order], np.concatenate([names, name[new]])[order]
+        kept = worth[inverse]
+        symbols[chosen[kept]] = name[inverse[kept]]
         stay = np.ones(len(symbols), bool)
-        stay[kept + 1] = False
+        stay[chosen[kept] + 1] = False
         symbols = symbols[stay]
-    none = np.zeros(0, np.int64)
-    return Grammar(base, np.concatenate(left or [none]), np.concatenate(right or [none]), symbols)
+    pairs = np.concatenate(rules or [np.zeros(0, U)])
+    return Grammar(base, (pairs >> U(32)).astype(np.int64), (pairs & U(0xFFFFFFFF)).astype(np.int64), symbols.astype(np.int64))
 
 
 def pack_shard(ids: np.ndarray, sizes: np.ndarray, docs: list[int | None], base: int) -> bytes:
