@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import concat_cut, hyperlang, line_cuckoo, partenum, repair_tokens, repetition, wu_manber
+from . import concat_cut, entropy_secrets, hyperlang, line_cuckoo, partenum, repair_tokens, repetition, wu_manber
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op2_repetition_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_quality(docs).drop("text")
 
 
+def op3_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entropy_secrets.digest(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op5_hyperlang(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text", "lang")
     return hyperlang.learn_and_predict(docs).select("doc_id", "held_out", "lang_pred", "score")
@@ -60,6 +64,7 @@ def op10_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repair_tokens": op1_repair_tokens,
     "op2_repetition_quality": op2_repetition_quality,
+    "op3_entropy_secrets": op3_entropy_secrets,
     "op5_hyperlang": op5_hyperlang,
     "op7_line_dedup": op7_line_dedup,
     "op8_concat_cut": op8_concat_cut,
