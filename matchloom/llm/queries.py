@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import concat_cut, entropy_secrets, hyperlang, line_cuckoo, partenum, repair_tokens, repetition, wu_manber
+from . import concat_cut, entropy_secrets, hyperlang, line_cuckoo, partenum, repair_tokens, repetition, tool_calls, wu_manber
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,11 @@ def op3_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entropy_secrets.digest(_documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = tool_calls.link_tool_calls(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return out.withColumn("record_sha256", F.sha2("record", 256)).drop("record")
+
+
 def op5_hyperlang(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text", "lang")
     return hyperlang.learn_and_predict(docs).select("doc_id", "held_out", "lang_pred", "score")
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repair_tokens": op1_repair_tokens,
     "op2_repetition_quality": op2_repetition_quality,
     "op3_entropy_secrets": op3_entropy_secrets,
+    "op4_tool_calls": op4_tool_calls,
     "op5_hyperlang": op5_hyperlang,
     "op7_line_dedup": op7_line_dedup,
     "op8_concat_cut": op8_concat_cut,
