@@ -20,7 +20,8 @@ sets that may be similar meet in one band.
 * Every pair is verified on the sets themselves.
 
 Equal sets are one set from the start.  Signatures travel as packed arrays, one
-row for each pair of tasks.
+row for each pair of tasks: 32 bits of a signature besides its bucket, so that the
+chance of a false common signature depends on a bucket's size only.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ SHINGLE = 5
 GROUP_PAIRS = 24  # members up to which a group's pairs are listed at once
 LEADERS = 4
 FLUSH = 1 << 20
+#: Sets (16 bytes each) whose texts are picked by a broadcast join; beyond it both sides are dealt by id.
+BROADCAST_SETS = 500_000
 _ROW_BITS = 10  # rows of a block; the other bits of a word hold the shingle's hash
 
 
@@ -150,37 +153,52 @@ _ENTITY = np.dtype([("entity", "<u8"), ("set", "<u8"), ("need", "<i4")])
 _LARGE = np.dtype([("sig", "<u8"), ("set", "<u8")])
 
 
+def _folded(items: np.ndarray) -> bytes:
+    """Signatures in the order of their entities, each entity once."""
+    begin = np.flatnonzero(np.append(True, items["entity"][1:] != items["entity"][:-1]))
+    count = np.diff(np.append(begin, len(items))).astype("<u4")
+    return np.uint64(len(begin)).tobytes() + items["entity"][begin].tobytes() + count.tobytes() + items["sig"].tobytes()
+
+
+def _unfolded(payload: bytes) -> np.ndarray:
+    n = int(np.frombuffer(payload, "<u8", 1)[0])
+    count = np.frombuffer(payload, "<u4", n, 8 + 8 * n)
+    sig = np.frombuffer(payload, "<u4", offset=8 + 12 * n)
+    out = np.empty(len(sig), _SIG)
+    out["sig"], out["entity"] = sig, np.repeat(np.frombuffer(payload, "<u8", n, 8), count)
+    return out
+
+
 def _packed(kind: int, items: np.ndarray, target: np.ndarray, keys: list[int]) -> Iterator[pa.RecordBatch]:
     """A row for each bucket that has items."""
-    order = np.argsort(target, kind="stable")
+    fold = items.dtype == _SIG
+    order = np.lexsort((items["entity"], target)) if fold else np.argsort(target, kind="stable")
     items = items[order]
     edges = np.searchsorted(target[order], np.arange(len(keys) + 1))
-    rows = [(keys[b], items[a:z].tobytes()) for b, (a, z) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())) if z > a]
+    rows = [(keys[b], _folded(items[a:z]) if fold else items[a:z].tobytes()) for b, (a, z) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())) if z > a]
     if rows:
         arrays = [pa.array([r[0] for r in rows], pa.int32()), pa.array([kind] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())]
         yield pa.RecordBatch.from_arrays(arrays + [pa.nulls(len(rows), t) for t in _TYPES[3:]], names=_NAMES)
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch], kinds: dict[int, np.dtype], passed: list[pa.RecordBatch], widen: bool = False) -> dict[int, np.ndarray]:
-    """The packed items by kind; with ``widen`` signatures get their bucket as upper half."""
-    got: dict[int, list[bytes]] = {k: [] for k in kinds}
-    halves: list[np.ndarray] = []
+def _unpacked(batches: Iterator[pa.RecordBatch], kinds: dict[int, np.dtype], passed: list[pa.RecordBatch]) -> dict[int, np.ndarray]:
+    """The packed items by kind; short signatures get their bucket as upper half."""
+    got: dict[int, list[np.ndarray]] = {k: [] for k in kinds}
     for batch in batches:
         kind = batch.column(1).to_numpy()
         rest = np.flatnonzero(~np.isin(kind, list(kinds)))
         if len(rest):
             passed.append(batch.take(pa.array(rest)))
         for i in np.flatnonzero(np.isin(kind, list(kinds))).tolist():
-            got[int(kind[i])].append(batch.column(2)[i].as_py())
-            if widen:
-                halves.append(np.full(len(got[int(kind[i])][-1]) // kinds[int(kind[i])].itemsize, batch.column(0)[i].as_py(), U))
-    out = {k: np.frombuffer(b"".join(v), kinds[k]) for k, v in got.items()}
-    if widen:
-        small = out[SIGNATURE]
-        out[SIGNATURE] = np.empty(len(small), _LARGE)
-        out[SIGNATURE]["sig"] = small["sig"].astype(U) | (np.concatenate(halves) << U(32) if halves else np.zeros(0, U))
-        out[SIGNATURE]["set"] = small["entity"]
-    return out
+            payload = batch.column(2)[i].as_py()
+            if kinds[int(kind[i])] == _SIG:
+                small = _unfolded(payload)
+                wide = np.empty(len(small), _LARGE)
+                wide["sig"], wide["set"] = small["sig"].astype(U) | U(batch.column(0)[i].as_py() << 32), small["entity"]
+                got[int(kind[i])].append(wide)
+            else:
+                got[int(kind[i])].append(np.frombuffer(payload, kinds[int(kind[i])]))
+    return {k: np.concatenate(v) if v else np.zeros(0, _LARGE if kinds[k] == _SIG else kinds[k]) for k, v in got.items()}
 
 
 def _distinct(items: np.ndarray, *fields: str) -> np.ndarray:
@@ -258,7 +276,7 @@ def _shared(keys: list[int]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passed: list[pa.RecordBatch] = []
-        got = _unpacked(batches, {SIGNATURE: _SIG}, passed, widen=True)[SIGNATURE]
+        got = _unpacked(batches, {SIGNATURE: _SIG}, passed)[SIGNATURE]
         yield from passed
         order, begin, size = _groups(got["sig"])
         if not len(order):
@@ -425,7 +443,9 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     survivors = alive.where(F.col("kind") == SURVIVOR).select(F.col("k1").alias("set")).distinct()
     reps = materialise(of_doc.where("n > 0").groupBy("k1", "k2").agg(F.min("doc").alias("rep")), "jaccard-reps")
     chosen = survivors.join(reps.groupBy(F.col("k1").alias("set")).agg(F.min("rep").alias("__ml_id")), "set")
-    texts = rows.join(chosen.hint("shuffle_hash"), "__ml_id").select("set", "__ml_text")
+    chosen = materialise(chosen, "jaccard-chosen")
+    near = F.broadcast(chosen) if chosen.count() <= BROADCAST_SETS else chosen.hint("shuffle_hash")
+    texts = rows.join(near, "__ml_id").select("set", "__ml_text")
     sets = materialise(texts.mapInArrow(_elements(shingle), "set long, elements binary").dropDuplicates(["set"]), "jaccard-sets")
     release(spark)
     links = materialise(_verified(pairs, sets, num, den), "jaccard-links")
