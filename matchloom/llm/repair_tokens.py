@@ -61,18 +61,36 @@ class Grammar:
         return out
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        """Ids of a run of symbols."""
-        symbols = symbols.astype(np.int64)
-        while True:
-            rule = symbols >= self.base
-            if not rule.any():
-                return symbols.astype(np.uint32)
-            place = np.arange(len(symbols)) + np.cumsum(rule) - rule
-            out = np.empty(len(symbols) + int(rule.sum()), np.int64)
-            out[place] = symbols
-            out[place[rule]] = self.left[symbols[rule] - self.base]
-            out[place[rule] + 1] = self.right[symbols[rule] - self.base]
-            symbols = out
+        """Ids of a run of symbols: the expansions of the rules it uses, copied side by side."""
+        rules = np.unique(symbols[symbols >= self.base]) - self.base
+        needed, todo = np.zeros(len(self.left), bool), rules
+        while len(todo):
+            needed[todo] = True
+            parts = np.concatenate([self.left[todo], self.right[todo]])
+            todo = np.unique(parts[parts >= self.base]) - self.base
+            todo = todo[~needed[todo]]
+        start = np.cumsum(np.where(needed, self.lengths, 0)) - np.where(needed, self.lengths, 0)
+        table = np.zeros(int(self.lengths[needed].sum()), np.uint32)
+        base, left, right, at, lengths = self.base, self.left.tolist(), self.right.tolist(), start.tolist(), self.lengths.tolist()
+        for k in np.flatnonzero(needed).tolist():  # rules only use earlier ones
+            place = at[k]
+            for part in (left[k], right[k]):
+                if part < base:
+                    table[place] = part
+                    place += 1
+                else:
+                    n, source = lengths[part - base], at[part - base]
+                    table[place : place + n] = table[source : source + n]
+                    place += n
+        sizes = self.sizes(symbols)
+        ends = np.cumsum(sizes)
+        out = np.repeat(symbols.astype(np.uint32), sizes)
+        inside = out >= base
+        origin = np.zeros(len(symbols), np.int64)
+        rule = symbols >= base
+        origin[rule] = start[symbols[rule] - base] - (ends[rule] - sizes[rule])
+        out[inside] = table[(np.repeat(origin, sizes) + np.arange(len(out)))[inside]]
+        return out
 
     def decode(self, start: int = 0, stop: int | None = None) -> np.ndarray:
         """Ids ``start:stop``, expanding only the symbols that cover them."""
@@ -88,23 +106,30 @@ class Grammar:
         return self.expand(self.symbols[a : b + 1])[start - before : stop - before]
 
 
-def _merge(rank: np.ndarray) -> np.ndarray:
-    """Places whose pair is replaced: of overlapping pairs the better ranked, of equal ones the first."""
-    n, found = len(rank) + 1, []
-    place = np.arange(len(rank))
-    begin = np.append(True, rank[1:] != rank[:-1])  # equal neighbours: a run of one symbol, whose every other pair counts
-    rank = np.where((place - np.maximum.accumulate(np.where(begin, place, 0))) % 2 == 0, rank, n)
-    before, after = np.empty(len(rank), np.int64), np.empty(len(rank), np.int64)
+def _merge(places: np.ndarray, rank: np.ndarray, worst: int) -> np.ndarray:
+    """Which places' pairs are replaced: of overlapping pairs the better ranked, of equal ones the first.
+
+    ``places`` ascend; pairs overlap where places are neighbours.  ``worst`` is above
+    all ranks.
+    """
+    n = len(places)
+    if not n:
+        return places
+    touch = np.diff(places) == 1
+    begin = np.append(True, ~touch | (rank[1:] != rank[:-1]))  # else a run of one symbol, whose every other pair counts
+    rank = np.where((places - np.maximum.accumulate(np.where(begin, places, 0))) % 2 == 0, rank, worst)
+    before, after, found = np.empty(n, np.int64), np.empty(n, np.int64), np.zeros(n, bool)
     for _ in range(3):
-        before[0] = after[-1] = n
-        before[1:], after[:-1] = rank[:-1], rank[1:]
-        at = np.flatnonzero((rank < n) & (rank < before) & (rank <= after))
-        if not len(at):
+        before[0] = after[-1] = worst
+        before[1:], after[:-1] = np.where(touch, rank[:-1], worst), np.where(touch, rank[1:], worst)
+        at = (rank < worst) & (rank < before) & (rank <= after)
+        if not at.any():
             break
-        found.append(at)
-        for k in (-1, 0, 1):
-            rank[np.clip(at + k, 0, len(rank) - 1)] = n
-    return np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        found |= at
+        rank[at] = worst
+        rank[:-1][at[1:] & touch] = worst
+        rank[1:][at[:-1] & touch] = worst
+    return np.flatnonzero(found)
 
 
 def _frequent(symbols: np.ndarray, floor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -142,10 +167,11 @@ def compress(ids: np.ndarray, base: int, min_count: int = MIN_COUNT, rounds: int
         rank_of[np.lexsort((mix(pairs), -count))] = np.arange(len(pairs))
         at_place = (symbols[places].astype(U) << U(32)) | symbols[places + 1]
         at = np.minimum(np.searchsorted(pairs, at_place), len(pairs) - 1)
-        rank = np.full(len(symbols) - 1, len(symbols), np.int64)
-        rank[places] = np.where(pairs[at] == at_place, rank_of[at], len(symbols))
-        chosen = _merge(rank)
-        used, inverse, times = np.unique((symbols[chosen].astype(U) << U(32)) | symbols[chosen + 1], return_inverse=True, return_counts=True)
+        real = pairs[at] == at_place
+        places, at_place, at = places[real], at_place[real], at[real]
+        some = _merge(places, rank_of[at], len(pairs))
+        chosen = places[some]
+        used, inverse, times = np.unique(at_place[some], return_inverse=True, return_counts=True)
         name, old = np.zeros(len(used), np.uint32), np.zeros(len(used), bool)
         if len(known):
             place = np.minimum(np.searchsorted(known, used), len(known) - 1)
