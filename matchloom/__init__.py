@@ -1,0 +1 @@
+"""Business record linkage on Spark: normalise, block, compare, decide, evaluate."""
