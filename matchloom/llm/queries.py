@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import concat_cut, entropy_secrets, hyperlang, line_cuckoo, partenum, repair_tokens, repetition, tool_calls, wu_manber
+from . import concat_cut, entropy_secrets, hyperlang, line_cuckoo, partenum, prefix_free, repair_tokens, repetition, tool_calls, wu_manber
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op5_hyperlang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperlang.learn_and_predict(docs).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op6_prefix_free(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_free.remove_repeats(_documents(spark, sf_dir))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text")
     out = line_cuckoo.drop_repeated_lines(docs)
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_entropy_secrets": op3_entropy_secrets,
     "op4_tool_calls": op4_tool_calls,
     "op5_hyperlang": op5_hyperlang,
+    "op6_prefix_free": op6_prefix_free,
     "op7_line_dedup": op7_line_dedup,
     "op8_concat_cut": op8_concat_cut,
     "op9_wu_manber": op9_wu_manber,
