@@ -17,7 +17,8 @@ sets that may be similar meet in one band.
   in large groups all members are paired with a few leaders, and only where
   members are still in different components after these links are the remaining
   pairs tried.  So no group is expanded that is one family of copies.
-* Every pair is verified on the sets themselves.
+* Pairs that sizes or parity sketches rule out go; every other pair is verified on
+  the sets themselves.
 
 Equal sets are one set from the start.  Signatures travel as packed arrays, one
 row for each pair of tasks: 32 bits of a signature besides its bucket, so that the
@@ -39,8 +40,9 @@ from .textarrays import BYTE_VALUES, IS_SPACE, LOWER, blocks, mix, owner, prefix
 U = np.uint64
 THRESHOLD = (80, 100)  # 100 * intersection >= 80 * union
 SHINGLE = 5
-GROUP_PAIRS = 24  # members up to which a group's pairs are listed at once
-LEADERS = 4
+GROUP_PAIRS = 3  # members up to which a group's pairs are listed at once
+LEADERS = 1
+SKETCH_BITS = 2048
 FLUSH = 1 << 20
 #: Sets (16 bytes each) whose texts are picked by a broadcast join; beyond it both sides are dealt by id.
 BROADCAST_SETS = 500_000
@@ -348,7 +350,7 @@ def _pairs(keys: list[int], limit: int, leaders: int):
         large = np.flatnonzero(size > limit)
         for g in large.tolist():
             x = member[begin[g] : begin[g] + size[g]]
-            lead = x[np.argsort(mix(x ^ got["sig"][begin[g]]))[:leaders]]
+            lead = x[np.argsort(mix(x))[:leaders]]  # the same ones in all groups of a family
             a.append(np.tile(x, len(lead)))
             b.append(np.repeat(lead, len(x)))
         if a:
@@ -383,8 +385,31 @@ def _forest(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return kept
 
 
+def parity_sketch(elements: np.ndarray) -> bytes:
+    """A bit for each hash slot: whether it holds an odd number of elements.  Sets differ in at least as many elements as sketches in bits."""
+    odd = np.bincount((mix(elements + U(3)) % U(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _possible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs whose sizes and sketches leave a link possible; no link is lost."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(k).to_numpy() for k in (2, 4))
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, SKETCH_BITS // 8) for k in (3, 5))
+            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            keep = (num * np.maximum(n, m) <= den * np.minimum(n, m)) & (apart * (den + num) <= (den - num) * (n + m))
+            yield batch.filter(pa.array(keep)).select([0, 1])
+
+    side = lambda key, n, x: sets.select(F.col("set").alias(key), F.col("size").alias(n), F.col("sketch").alias(x))
+    near = pairs.join(side("a", "n", "x"), "a").join(side("b", "m", "y"), "b").select("a", "b", "n", "x", "m", "y")
+    return near.mapInArrow(run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Links (a, b) among the pairs: exact on the sets.  Each task leaves out links that others of it imply."""
+    pairs = materialise(_possible(pairs, sets, num, den), "jaccard-possible")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -418,7 +443,9 @@ def _elements(n: int):
                 sets, first = shingle_sets(d, o, n)
                 raw = sets.astype("<u8").tobytes()
                 payload = [raw[8 * a : 8 * b] for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(payload, pa.binary())], names=["set", "elements"])
+                sketches = [parity_sketch(sets[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+                arrays = [batch.column(0).slice(lo, hi - lo), pa.array(np.diff(first)), pa.array(sketches, pa.binary()), pa.array(payload, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["set", "size", "sketch", "elements"])
 
     return run
 
@@ -446,11 +473,12 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     chosen = materialise(chosen, "jaccard-chosen")
     near = F.broadcast(chosen) if chosen.count() <= BROADCAST_SETS else chosen.hint("shuffle_hash")
     texts = rows.join(near, "__ml_id").select("set", "__ml_text")
-    sets = materialise(texts.mapInArrow(_elements(shingle), "set long, elements binary").dropDuplicates(["set"]), "jaccard-sets")
+    sets = materialise(texts.mapInArrow(_elements(shingle), "set long, size long, sketch binary, elements binary").dropDuplicates(["set"]), "jaccard-sets")
     release(spark)
     links = materialise(_verified(pairs, sets, num, den), "jaccard-links")
     hot = alive.where(F.col("kind") == HOT).select(F.col("k1").alias("sig"), F.col("k2").alias("set"))
     if not hot.isEmpty():
+        release(spark)
         links = materialise(links.unionByName(_verified(_apart(hot, components(links)), sets, num, den)), "jaccard-links")
     roots = components(links)
     named = roots.join(reps.select(F.col("k1").alias("node"), "rep"), "node")
