@@ -58,7 +58,9 @@ def knn_both_ways(s1: DataFrame, targets: DataFrame, k_a: int, k_b: int, block:
         rows = rows.withColumn(own, F.pmod(F.xxhash64("id"), F.col(f"n_{own}")))
         return rows.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"n_{other}") - 1))).select("id", "country", "vec", own, other)
 
-    left, right = blocked(s1, "a", "b", targets), blocked(targets, "b", "a", s1)
+    left = blocked(s1, "a", "b", targets)
+    left = left.select(*[F.col(c).alias(f"{c}_1") for c in left.columns])
+    right = blocked(targets, "b", "a", s1)
 
     def best(scores: np.ndarray, k: int, ids: np.ndarray) -> np.ndarray:
         order = np.argsort(ids, kind="stable")
@@ -67,8 +69,8 @@ def knn_both_ways(s1: DataFrame, targets: DataFrame, k_a: int, k_b: int, block:
     def multiply(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(y):
             return pd.DataFrame({"s1": [], "tgt": [], "score": [], "way": []})
-        product = np.stack(x["vec"].to_numpy()).astype(float) @ np.stack(y["vec"].to_numpy()).astype(float).T
-        si, ti = x["id"].to_numpy(), y["id"].to_numpy()
+        product = np.stack(x["vec_1"].to_numpy()).astype(float) @ np.stack(y["vec"].to_numpy()).astype(float).T
+        si, ti = x["id_1"].to_numpy(), y["id"].to_numpy()
         owners, found = best(product.T, k_a, si), best(product, k_b, ti)
         ra, rb = np.repeat(np.arange(len(ti)), owners.shape[1]), np.repeat(np.arange(len(si)), found.shape[1])
         a = pd.DataFrame({"s1": si[owners.ravel()], "tgt": ti[ra], "score": product[owners.ravel(), ra], "way": "a"})
@@ -76,7 +78,7 @@ def knn_both_ways(s1: DataFrame, targets: DataFrame, k_a: int, k_b: int, block:
         return pd.concat([a, b])
 
     kind = dict(s1.dtypes)["id"]
-    local = left.groupBy("country", "a", "b").cogroup(right.groupBy("country", "a", "b")).applyInPandas(multiply, f"s1 {kind}, tgt {kind}, score double, way string")
+    local = left.groupBy("country_1", "a_1", "b_1").cogroup(right.groupBy("country", "a", "b")).applyInPandas(multiply, f"s1 {kind}, tgt {kind}, score double, way string")
     ranked = lambda way, per, other, k: top(local.where(F.col("way") == way).drop("way"), per, other, k)
     return ranked("a", "tgt", "s1", k_a), ranked("b", "s1", "tgt", k_b)
 
