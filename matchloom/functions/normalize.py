@@ -58,7 +58,12 @@ def tokens(c: ColumnOrName) -> Column:
 
 
 def _table(words: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in words.items() for x in pair])
+    """A constant map, parsed in one call."""
+    return F.expr("map(" + ", ".join(f"'{a}', '{b}'" for a, b in words.items()) + ")")
+
+
+def _list(words: tuple[str, ...]) -> Column:
+    return F.expr("array(" + ", ".join(f"'{w}'" for w in words) + ")")
 
 
 def expand(words: Column, table: dict[str, str]) -> Column:
@@ -92,7 +97,8 @@ def join_initials(c: ColumnOrName) -> Column:
 
 def core(c: ColumnOrName) -> Column:
     """A normalised name without legal forms; the name itself if nothing is left."""
-    kept = F.filter(tokens(join_initials(c)), lambda t: ~t.isin(*LEGAL_WORDS))
+    legal = _list(LEGAL_WORDS)
+    kept = F.filter(tokens(join_initials(c)), lambda t: ~F.array_contains(legal, t))
     return F.when(F.size(kept) > 0, F.array_join(kept, " ")).otherwise(_col(c))
 
 

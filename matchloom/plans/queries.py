@@ -89,8 +89,7 @@ def _s1(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _prep(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    t = targets(spark, d)
-    return rd.prepare(_s1(spark, d)), rd.prepare(t).join(t.select("entity_id", "source"), "entity_id")
+    return rd.prepare(_s1(spark, d)), rd.prepare(targets(spark, d), "source")
 
 
 def _truth(spark: SparkSession, d: str) -> DataFrame:

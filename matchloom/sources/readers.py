@@ -44,9 +44,9 @@ def trimmed_column(df: DataFrame, column: str) -> DataFrame:
     return df.select(F.trim(column).alias(column))
 
 
-def prepare(records: DataFrame, key: str = "entity_id") -> DataFrame:
-    """entity_id, country, name_n, addr_n."""
-    return records.select(key, "country", name("business_name").alias("name_n"), address("business_address", "country").alias("addr_n"))
+def prepare(records: DataFrame, *keep: str, key: str = "entity_id") -> DataFrame:
+    """entity_id, country, further columns, name_n, addr_n."""
+    return records.select(key, "country", *keep, name("business_name").alias("name_n"), address("business_address", "country").alias("addr_n"))
 
 
 def assert_unique(df: DataFrame, *keys: str) -> DataFrame:
