@@ -14,9 +14,10 @@ sets that may be similar meet in one band.
 * A set too small or too unevenly dealt to guarantee one filled common partition
   also enumerates its single elements.
 * Sets that remain meet in signature groups.  Small groups give their pairs;
-  in large groups all members are paired with a few leaders, and only where
-  members are still in different components after these links are the remaining
-  pairs tried.  So no group is expanded that is one family of copies.
+  in large groups all members are paired with a leader, then, where members are
+  still in different components, with a few representatives, and only the pairs
+  that are apart after that are all tried.  So no group is expanded that is one
+  family of copies, and no link is lost.
 * Pairs that sizes or parity sketches rule out go; every other pair is verified on
   the sets themselves.
 
@@ -42,6 +43,7 @@ THRESHOLD = (80, 100)  # 100 * intersection >= 80 * union
 SHINGLE = 5
 GROUP_PAIRS = 3  # members up to which a group's pairs are listed at once
 LEADERS = 1
+REPRESENTATIVES = 6
 SKETCH_BITS = 2048
 FLUSH = 1 << 20
 #: Sets (16 bytes each) whose texts are picked by a broadcast join; beyond it both sides are dealt by id.
@@ -254,7 +256,7 @@ def _scan(docs: DataFrame, keys: list[int], num: int, den: int, n: int) -> DataF
                 sets, first = shingle_sets(d, o, n)
                 k1, k2 = set_ids(sets, first)
                 rows = hi - lo
-                arrays = [pa.array(np.array(keys, np.int32)[_bucket(k1, len(keys))]), pa.array(np.full(rows, DOC, np.int32)), pa.nulls(rows, pa.binary()), batch.column(0).slice(lo, rows), pa.array(np.diff(first)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64))]
+                arrays = [pa.array(np.array(keys, np.int32)[(np.arange(rows) + lo) % len(keys)]), pa.array(np.full(rows, DOC, np.int32)), pa.nulls(rows, pa.binary()), batch.column(0).slice(lo, rows), pa.array(np.diff(first)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64))]
                 yield pa.RecordBatch.from_arrays(arrays, names=_NAMES)
                 fresh = np.zeros(rows, bool)
                 for i, k in enumerate(k1.tolist()):
@@ -477,9 +479,13 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     release(spark)
     links = materialise(_verified(pairs, sets, num, den), "jaccard-links")
     hot = alive.where(F.col("kind") == HOT).select(F.col("k1").alias("sig"), F.col("k2").alias("set"))
-    if not hot.isEmpty():
+    for tried in (_with_representatives, _all_apart):
+        mixed = materialise(_mixed_groups(hot, components(links)), "jaccard-mixed")
+        if mixed.isEmpty():
+            break
+        links = materialise(links.unionByName(_verified(tried(mixed), sets, num, den)), "jaccard-links")
+        hot = mixed.select("sig", "set")
         release(spark)
-        links = materialise(links.unionByName(_verified(_apart(hot, components(links)), sets, num, den)), "jaccard-links")
     roots = components(links)
     named = roots.join(reps.select(F.col("k1").alias("node"), "rep"), "node")
     least = named.groupBy("root").agg(F.min("rep").alias("component"))
@@ -487,10 +493,26 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return of_doc.join(of_set, ["k1", "k2"], "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc")).otherwise(F.col("component")).alias("component_id"))
 
 
-def _apart(hot: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of a large group's members that the links so far leave in different components."""
+def _mixed_groups(hot: DataFrame, roots: DataFrame) -> DataFrame:
+    """(sig, set, root) of the large groups whose members the links so far leave in different components."""
     labelled = hot.join(roots.withColumnRenamed("node", "set"), "set", "left").select("sig", "set", F.coalesce("root", "set").alias("root"))
     mixed = labelled.groupBy("sig").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("sig")
-    left = labelled.join(mixed, "sig")
-    right = left.select("sig", F.col("set").alias("other"), F.col("root").alias("other_root"))
-    return left.join(right, "sig").where("set < other and root <> other_root").select(F.col("set").alias("a"), F.col("other").alias("b")).distinct()
+    return labelled.join(mixed, "sig").select("sig", "set", "root")
+
+
+def _with_representatives(mixed: DataFrame) -> DataFrame:
+    """Pairs of members with a few representatives of their group in other components.
+
+    Members of one family of copies nearly all link with one of several others, so
+    this leaves few members for the last round.
+    """
+    choice = [F.min(F.struct(F.xxhash64("set", F.lit(j)).alias("h"), F.col("set").alias("other"), F.col("root").alias("other_root"))).alias(f"r{j}") for j in range(REPRESENTATIVES)]
+    chosen = mixed.groupBy("sig").agg(*choice).select("sig", F.explode(F.array_distinct(F.array(*[f"r{j}" for j in range(REPRESENTATIVES)]))).alias("r")).select("sig", "r.other", "r.other_root")
+    pairs = mixed.join(chosen, "sig").where("root <> other_root")
+    return pairs.select(F.least("set", "other").alias("a"), F.greatest("set", "other").alias("b")).distinct()
+
+
+def _all_apart(mixed: DataFrame) -> DataFrame:
+    """All pairs of a group's members in different components: what is left to try."""
+    right = mixed.select("sig", F.col("set").alias("other"), F.col("root").alias("other_root"))
+    return mixed.join(right, "sig").where("set < other and root <> other_root").select(F.col("set").alias("a"), F.col("other").alias("b")).distinct()
