@@ -73,7 +73,11 @@ def macro_f05(queries: DataFrame, n_true: DataFrame, predicted: DataFrame, truth
 def rule_grid(scored: DataFrame, queries: DataFrame, n_true: DataFrame, truth: DataFrame, rules: list[dict] | None = None) -> DataFrame:
     """(rule, f05) of all rules; the best one is the first of the largest."""
     rules = RULES if rules is None else rules
-    parts = [decide(scored, r).select(F.lit(i).alias("rule"), "s1", "tgt") for i, r in enumerate(rules)]
+    steps = [(i, r) for i, r in enumerate(rules) if r["mode"] == "threshold"]
+    parts = [decide(scored, r).select(F.lit(i).alias("rule"), "s1", "tgt") for i, r in enumerate(rules) if r["mode"] != "threshold"]
+    if steps:  # all thresholds in one pass over the owners
+        each = F.explode(F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(r["threshold"]).alias("least")) for i, r in steps]))
+        parts.append(owners(scored).withColumn("x", each).where("p >= x.least").select("x.rule", "s1", "tgt"))
     predicted = reduce(DataFrame.unionByName, parts)
     hits = predicted.join(truth.select("s1", "tgt").withColumn("hit", F.lit(1)), ["s1", "tgt"], "left")
     found = hits.groupBy("rule", "s1").agg(F.count("*").alias("n_pred"), F.count("hit").alias("tp"))

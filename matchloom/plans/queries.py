@@ -103,10 +103,10 @@ def _candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates with a fixed formula for p, so that rules can be checked without a model."""
+    """Candidates with a fixed formula for p, so that rules can be checked without a model; kept, as rules read them often."""
     a, b = F.right("s1", F.lit(6)), F.right("tgt", F.lit(6))
     p = (1 + (a.cast("long") * 37 + b.cast("long") * 101 + F.when(a == b, 977).otherwise(0)) % 997) / 1000
-    return _candidates(spark, d).withColumn("p", p)
+    return _candidates(spark, d).withColumn("p", p).cache()
 
 
 def _queries(spark: SparkSession, d: str) -> DataFrame:
@@ -530,14 +530,14 @@ def _name_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Candidates of both directions by name n-grams, as the dense search gives them."""
     a, b = _grams(spark, d, "name_n")
     q, t = (vx.unit_length(x.withColumn("w", F.col("n").cast("double")), k, "country") for x, k in ((a, "s1"), (b, "tgt")))
-    scores = bl.sparse_scores(q, t)
+    scores = bl.sparse_scores(q, t).cache()
     return bl.candidate_table(bl.top(scores, "tgt", "s1", 5), bl.top(scores, "s1", "tgt", 20))
 
 
 @query("features46")
 def features46(spark, d):
-    s1, t = _prep(spark, d)
-    return ft.full_set(bl.keep(_name_candidates(spark, d)), s1, t)
+    s1, t = (x.cache() for x in _prep(spark, d))
+    return ft.full_set(bl.keep(_name_candidates(spark, d)).cache(), s1, t)
 
 
 @query("label_pairs", f"{PREP} SELECT c.s1, c.tgt, CASE WHEN t.s1 IS NULL THEN 0 ELSE 1 END AS y FROM cand c LEFT JOIN truth t ON t.s1 = c.s1 AND t.tgt = c.tgt")
