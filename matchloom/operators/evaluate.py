@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .decide import RULES, decide, owners
+from .decide import RULES, expectation_grid, owners
 
 
 def candidate_recall(candidates: DataFrame, truth: DataFrame, queries: DataFrame | None = None, targets: DataFrame | None = None) -> DataFrame:
@@ -74,7 +74,8 @@ def rule_grid(scored: DataFrame, queries: DataFrame, n_true: DataFrame, truth: D
     """(rule, f05) of all rules; the best one is the first of the largest."""
     rules = RULES if rules is None else rules
     steps = [(i, r) for i, r in enumerate(rules) if r["mode"] == "threshold"]
-    parts = [decide(scored, r).select(F.lit(i).alias("rule"), "s1", "tgt") for i, r in enumerate(rules) if r["mode"] != "threshold"]
+    bets = [(i, r["floor"], r["extra"]) for i, r in enumerate(rules) if r["mode"] == "expected"]
+    parts = [expectation_grid(scored, bets).select("rule", "s1", "tgt")] if bets else []
     if steps:  # all thresholds in one pass over the owners
         each = F.explode(F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(r["threshold"]).alias("least")) for i, r in steps]))
         parts.append(owners(scored).withColumn("x", each).where("p >= x.least").select("x.rule", "s1", "tgt"))
