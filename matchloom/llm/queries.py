@@ -86,6 +86,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _SPACE = r"[\x20\x09-\x0D]"
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_repetition_quality": r"""
+WITH w AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS x, coalesce(text, '') AS t FROM documents
+), g AS (
+  SELECT doc_id, n, i, array_to_string(list_slice(x, i, i + n - 1), ' ') AS k FROM (SELECT doc_id, x, n, unnest(generate_series(1, len(x) - n + 1)) AS i FROM w, (SELECT unnest([3, 5, 6, 7, 8, 9, 10]) AS n))
+), r AS (
+  SELECT doc_id, n, k FROM g GROUP BY doc_id, n, k HAVING count(*) > 1
+), c AS (
+  SELECT DISTINCT g.doc_id, g.n, unnest(generate_series(g.i, g.i + g.n - 1)) AS p FROM g JOIN r ON g.doc_id = r.doc_id AND g.n = r.n AND g.k = r.k
+), s AS (
+  SELECT c.doc_id, CAST(count(CASE WHEN n = 3 THEN 1 END) AS BIGINT) AS n_repeat_words,
+         {sums} FROM c JOIN w ON w.doc_id = c.doc_id GROUP BY c.doc_id
+), l AS (
+  SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) AS nth FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM w) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), d AS (
+  SELECT doc_id, count(*) AS n_dup_lines, sum(length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g'))) AS chars FROM l WHERE nth > 1 GROUP BY doc_id
+), m AS (
+  SELECT w.doc_id, CAST(len(x) AS BIGINT) AS n_words, CAST(length(array_to_string(x, '')) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(d.chars, 0) / CAST(greatest(1, length(array_to_string(x, ''))) AS DOUBLE) AS line_coverage, {shares}
+  FROM w LEFT JOIN s ON s.doc_id = w.doc_id LEFT JOIN d ON d.doc_id = w.doc_id
+)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND line_coverage <= 0.2::DOUBLE AND {tests} AS kept FROM m
+""".format(
+        sums=", ".join(f"sum(CASE WHEN n = {n} THEN length(x[p]) ELSE 0 END) AS c{n}" for n in range(5, 11)),
+        shares=", ".join(f"coalesce(c{n}, 0) / CAST(greatest(1, length(array_to_string(x, ''))) AS DOUBLE) AS coverage_{n}" for n in range(5, 11)),
+        tests=" AND ".join(f"coverage_{n} <= {limit}::DOUBLE" for n, limit in repetition.NGRAM_LIMITS.items()),
+    ),
     "op10_partenum": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS x FROM documents
