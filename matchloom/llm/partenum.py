@@ -45,7 +45,7 @@ GROUP_PAIRS = 3  # members up to which a group's pairs are listed at once
 LEADERS = 1
 REPRESENTATIVES = 6
 SKETCH_BITS = 2048
-FLUSH = 1 << 20
+FLUSH = 1 << 18
 #: Sets (16 bytes each) whose texts are picked by a broadcast join; beyond it both sides are dealt by id.
 BROADCAST_SETS = 500_000
 _ROW_BITS = 10  # rows of a block; the other bits of a word hold the shingle's hash
