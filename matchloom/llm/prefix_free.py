@@ -254,7 +254,8 @@ def _dictionary():
             several = np.diff(np.append(first, len(one)))
             some_single = np.minimum.reduceat(whole.astype(np.int64), first) == 0
             lit = np.isin(one["h"][first], got[BEACON]["h"])
-            ask = np.repeat(((several > 1) | lit) & some_single, several)
+            # phrases of a lit trigger string are compared with those dealt by phrase, so whole ones send their windows too
+            ask = np.repeat(((several > 1) & some_single) | lit, several)
             hot = np.repeat((several > HOT) | lit, several)
             yield from _rows(ASK, one["row"][ask & ~hot], one["pos"][ask & ~hot])
             yield from _rows(ASK_HOT, one["row"][ask & hot], one["pos"][ask & hot])

@@ -73,6 +73,20 @@ def test_removal_equals_brute_force(spark, monkeypatch, seed, local, hot):
         assert got[i] == want, (i, texts[i])
 
 
+def test_hot_partition_beside_whole_copies(spark):
+    rng = np.random.default_rng(4)
+    text = lambda k: "".join(rng.choice(list("abcdefghij "), k))
+    passage, heads = text(150), [text(150) for _ in range(10)]
+    hot = [(heads[i] if i < 10 else text(150)) + passage + text(150) for i in range(3 * pf.LOCAL_HOT)]
+    copies = [h + passage + text(150) for h in heads] * 2
+    texts = hot + copies
+    rows = list(enumerate(texts))
+    tasks = spark.sparkContext.parallelize([rows[: len(hot)], rows[len(hot) :]], 2)
+    docs = spark.createDataFrame(tasks.flatMap(lambda x: x), "doc_id long, text string")
+    got = {r.doc_id: tuple(r)[1:] for r in pf.remove_repeats(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts, 200)
+
+
 def test_empty_and_repeated_rows(spark):
     schema = "doc_id long, text string"
     assert pf.remove_repeats(spark.createDataFrame([], schema)).count() == 0
