@@ -11,8 +11,8 @@ sets that may be similar meet in one band.
   its filled partitions less the largest possible difference.  Sets of which fewer
   signatures occur elsewhere are dropped at once.  This takes out documents that
   merely share a common passage, however common.
-* A set too small or too unevenly dealt to guarantee one filled common partition
-  also enumerates its single elements.
+* A set too small or too unevenly dealt to guarantee one filled common partition,
+  in its own band or in the band below, also enumerates its single elements.
 * Sets that remain meet in signature groups.  Small groups give their pairs;
   in large groups all members are paired with a leader, then, where members are
   still in different components, with a few representatives, and only the pairs
@@ -117,6 +117,7 @@ def signatures(sets: np.ndarray, first: np.ndarray, ids: np.ndarray, num: int, d
     band = np.searchsorted(low, size, "right") - 1
     diff = difference(size, num, den)
     made, entities = [], []
+    weak = np.zeros(len(size), bool)
     for shift in (0, 1):
         b = band - shift
         # b is at least low[band] / t below any partner in the band below
@@ -135,14 +136,16 @@ def signatures(sets: np.ndarray, first: np.ndarray, ids: np.ndarray, num: int, d
         holder = of[begin]
         made.append((mix(mix(total + p[begin]) + b[chosen][holder].astype(U)), entity[holder]))
         filled = np.bincount(holder, minlength=len(chosen))
-        need = filled - diff[chosen]
+        # in the band below, partners are smaller than ``low[band]``: |x| = a and |y| = b differ in (1-t)/(1+t) * (a+b) at most
+        most = diff[chosen] if shift == 0 else np.minimum(diff[chosen], (low[band[chosen]] - 1 + length) * (den - num) // (den + num))
+        need = filled - most
         entities.append((entity, ids[chosen], np.maximum(need, 1)))
-        if shift == 0 and (need < 1).any():
-            weak = need < 1
-            single = mix(ids[chosen] + U(0x517CC1B727220A95))
-            rows = weak[of]
-            made.append((mix(values[rows] + U(0x2545F4914F6CDD1D)), single[of[rows]]))
-            entities.append((single[weak], ids[chosen][weak], np.ones(int(weak.sum()), np.int64)))
+        weak[chosen] |= need < 1
+    if weak.any():
+        # two sets that meet in a band in which neither has a guarantee both list their elements
+        single = mix(ids + U(0x517CC1B727220A95))
+        made.append((mix(sets[np.repeat(weak, size)] + U(0x2545F4914F6CDD1D)), np.repeat(single[weak], size[weak])))
+        entities.append((single[weak], ids[weak], np.ones(int(weak.sum()), np.int64)))
     if not made:
         return (np.zeros(0, U),) * 2, (np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.int64))
     return tuple(np.concatenate(x) for x in zip(*made)), tuple(np.concatenate(x) for x in zip(*entities))

@@ -95,6 +95,22 @@ def test_similar_sets_share_enough_signatures():
             assert any(n >= need[e][1] for e, n in counts.items())
 
 
+@pytest.mark.parametrize("a,b,common", [(7, 8, 7), (13, 16, 13), (14, 16, 14), (15, 16, 14), (15, 18, 15), (30, 34, 29), (31, 38, 31), (62, 66, 57), (63, 78, 63)])
+def test_sets_of_neighbouring_bands_meet(a, b, common):
+    assert 100 * common >= 80 * (a + b - common)
+    for seed in range(400):
+        values = np.random.default_rng(seed).integers(0, 1 << 54, a + b - common, dtype=np.uint64)
+        both = np.concatenate([np.sort(values[:a]), np.sort(values[a - common :])])
+        made, found = partenum.signatures(both, np.array([0, a, a + b]), np.array([7, 9], np.uint64), 80, 100)
+        of = {int(e): (int(s), int(n)) for e, s, n in zip(*found)}
+        held = {7: {}, 9: {}}
+        for sig, e in zip(*(m.tolist() for m in made)):
+            held[of[e][0]].setdefault(e, set()).add(sig)
+        kept = {who: [x & set().union(*held[16 - who].values()) for e, x in held[who].items()] for who in held}
+        kept = {who: [x for x, e in zip(kept[who], held[who]) if len(x) >= of[e][1]] for who in held}
+        assert set().union(*kept[7]) & set().union(*kept[9]), seed
+
+
 def test_set_sizes_ignore_repeats():
     data, offsets = text_buffers(pa.array(["a b c d e a b c d e", None, "x"]))
     sets, first = partenum.shingle_sets(data, offsets)
