@@ -6,6 +6,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from . import vectors as vx
+
 NO_RANK = 99
 
 
@@ -108,6 +110,29 @@ def add_channel(candidates: DataFrame, channel: DataFrame, cos: DataFrame) -> Da
     return rows.select("s1", "tgt", F.coalesce("cos", "own_cos").alias("cos"), rank("rank_a"), rank("rank_b"), F.coalesce("t_top1", "u1").alias("t_top1"), F.coalesce("t_top2", "u2").alias("t_top2"), F.coalesce("s_top1", "v1").alias("s_top1"), rank("rank_c"), "addr_nn_cos")
 
 
+def field_scores(s1: DataFrame, targets: DataFrame, weight: float = 1.0) -> DataFrame:
+    """(s1, tgt, name_cos, addr_cos, score, addr_score) of all records that share a gram of the name or the address.
+
+    Records have entity_id, country, name_n, addr_n.  ``score`` is the combined cosine,
+    ``addr_score`` the one that the address decides.
+    """
+    bags = lambda df, key: [vx.unit_length(bag, key, "country") for bag in vx.record_bags(df.withColumnRenamed("entity_id", key), key, "country")]
+    name, addr = (sparse_scores(x, y) for x, y in zip(bags(s1, "s1"), bags(targets, "tgt")))
+    both = name.withColumnRenamed("score", "name_cos").join(addr.withColumnRenamed("score", "addr_cos"), ["s1", "tgt"], "full")
+    some = lambda df, key: df.select(F.col("entity_id").alias(key), (F.col("addr_n") != "").alias(f"some_{key}"))
+    both = both.join(some(s1, "s1"), "s1").join(some(targets, "tgt"), "tgt")
+    cos = lambda w: vx.combined_cosine(F.coalesce("name_cos", F.lit(0.0)), F.col("addr_cos"), w, F.col("some_s1"), F.col("some_tgt"))
+    return both.select("s1", "tgt", "name_cos", "addr_cos", cos(weight).alias("score"), cos(1000.0).alias("addr_score"))
+
+
+def three_channels(scores: DataFrame) -> DataFrame:
+    """Candidates from ``field_scores``: both directions on the combined score, and the address channel."""
+    combined = scores.select("s1", "tgt", "score")
+    table = candidate_table(top(combined, "tgt", "s1", 5), top(combined, "s1", "tgt", 20))
+    channel = top(scores.select("s1", "tgt", F.col("addr_score").alias("score")), "tgt", "s1", 2)
+    return add_channel(table, channel, combined.withColumnRenamed("score", "cos"))
+
+
 def keep(candidates: DataFrame, a: int = 1, b: int = 3, c: int = 1) -> DataFrame:
     """The blocking cut, with the number of candidates of each side after it."""
     if "rank_c" not in candidates.columns:

@@ -17,7 +17,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import normalize as nz
-from ..operators import blocking as bl, decide as dc, evaluate as ev, features as ft, labels as lb, learn, vectors as vx
+from ..operators import blocking as bl, decide as dc, evaluate as ev, features as ft, labels as lb, learn
 from ..sources import readers as rd, sinks as sk
 
 SPLITS, SOURCES = ("train", "test"), ("source1", "source2", "source3")
@@ -44,26 +44,10 @@ class Run:
             for source in SOURCES:
                 sk.stage(rd.prepare(rd.assert_unique(self.raw(split, source), "entity_id")), f"{self.work}/prep/{split}_{source}")
 
-    def vectors(self, split: str) -> tuple[tuple[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]:
-        """Name and address vectors of both sides, of unit length."""
-        sides = []
-        for key, s1 in (("s1", True), ("tgt", False)):
-            rows = self.side(split, s1).withColumnRenamed("entity_id", key)
-            sides.append(tuple(vx.unit_length(bag, key, "country") for bag in vx.record_bags(rows, key, "country")))
-        return sides[0], sides[1]
-
     def block(self, split: str, weight: float = 1.0) -> DataFrame:
         """Both directions on the combined score, and the address channel."""
-        (n1, a1), (n2, a2) = self.vectors(split)
-        name, addr = (bl.sparse_scores(x, y) for x, y in ((n1, n2), (a1, a2)))
-        both = name.withColumnRenamed("score", "name_cos").join(addr.withColumnRenamed("score", "addr_cos"), ["s1", "tgt"], "full")
-        some = lambda side, key: self.side(split, side).select(F.col("entity_id").alias(key), (F.col("addr_n") != "").alias(f"some_{key}"))
-        both = both.join(some(True, "s1"), "s1").join(some(False, "tgt"), "tgt")
-        cos = lambda w: vx.combined_cosine(F.coalesce("name_cos", F.lit(0.0)), F.col("addr_cos"), w, F.col("some_s1"), F.col("some_tgt"))
-        scores = sk.stage(both.select("s1", "tgt", "name_cos", "addr_cos", cos(weight).alias("score"), cos(1000.0).alias("addr_score")), f"{self.work}/scores/{split}")
-        table = bl.candidate_table(bl.top(scores.select("s1", "tgt", "score"), "tgt", "s1", 5), bl.top(scores.select("s1", "tgt", "score"), "s1", "tgt", 20))
-        channel = bl.top(scores.select("s1", "tgt", F.col("addr_score").alias("score")), "tgt", "s1", 2)
-        return sk.stage(bl.add_channel(table, channel, scores.select("s1", "tgt", F.col("score").alias("cos"))), f"{self.work}/candidates/{split}")
+        scores = sk.stage(bl.field_scores(self.side(split, True), self.side(split, False), weight), f"{self.work}/scores/{split}")
+        return sk.stage(bl.three_channels(scores), f"{self.work}/candidates/{split}")
 
     def features(self, split: str, pairs: DataFrame) -> DataFrame:
         cosines = self.spark.read.parquet(f"{self.work}/scores/{split}").select("s1", "tgt", "name_cos", "addr_cos")

@@ -526,18 +526,12 @@ def features18(spark, d):
     return ft.small_set(_raw_pairs(spark, d))
 
 
-def _name_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates of both directions by name n-grams, as the dense search gives them."""
-    a, b = _grams(spark, d, "name_n")
-    q, t = (vx.unit_length(x.withColumn("w", F.col("n").cast("double")), k, "country") for x, k in ((a, "s1"), (b, "tgt")))
-    scores = bl.sparse_scores(q, t).cache()
-    return bl.candidate_table(bl.top(scores, "tgt", "s1", 5), bl.top(scores, "s1", "tgt", 20))
-
-
 @query("features46")
 def features46(spark, d):
     s1, t = (x.cache() for x in _prep(spark, d))
-    return ft.full_set(bl.keep(_name_candidates(spark, d)).cache(), s1, t)
+    scores = bl.field_scores(s1, t).cache()
+    kept = bl.keep(bl.three_channels(scores)).cache()
+    return ft.full_set(kept, s1, t, scores.select("s1", "tgt", "name_cos", "addr_cos"))
 
 
 @query("label_pairs", f"{PREP} SELECT c.s1, c.tgt, CASE WHEN t.s1 IS NULL THEN 0 ELSE 1 END AS y FROM cand c LEFT JOIN truth t ON t.s1 = c.s1 AND t.tgt = c.tgt")

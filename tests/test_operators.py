@@ -92,6 +92,15 @@ def test_truth_is_found_and_features_are_complete(spark):
     assert len(q.features18(spark, SF).columns) == 20
 
 
+def test_features46_reads_both_fields_and_all_channels(spark):
+    rows = q.features46(spark, SF).select("s1", "tgt", "name_cos", "addr_cos", "rank_a", "rank_b", "rank_c", "addr_nn_cos").collect()
+    assert all(r.name_cos is not None or r.addr_cos is not None for r in rows)
+    assert any(r.name_cos is not None for r in rows) and any(r.addr_cos is not None for r in rows)
+    assert any(r.rank_c < 99 and r.addr_nn_cos is not None for r in rows)
+    assert any(r.name_cos is None and r.rank_c == 0 for r in rows) or any(r.rank_a >= 1 and r.rank_b >= 3 and r.rank_c == 0 for r in rows)
+    assert len({(r.s1, r.tgt) for r in rows}) == len(rows)
+
+
 def test_every_oracle_has_a_query():
     assert set(q.ORACLES) <= set(q.QUERIES) and len(q.QUERIES) > 60
 
