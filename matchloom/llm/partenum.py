@@ -1,29 +1,33 @@
 """Exact n-gram Jaccard join with PartEnum signatures.
 
 Sets of word shingles are put in size bands.  Two sets with a similarity of t or
-more differ in at most ``(1 - t) / (1 + t) * (a + b)`` elements, so, if the
-elements of the domain are dealt over more partitions than that, such sets have
-partitions in which they are equal.  A signature is a partition's elements,
-hashed; sets near the lower end of a band also join the band below, so any two
-sets that may be similar meet in one band.
+more differ in at most ``(1 - t) / (1 + t) * (a + b)`` elements.  The domain of the
+elements is dealt over partitions of three parts each, more than half as many as
+that difference, so there are partitions in which such sets differ in one part at
+most.  The signatures are the subsets of two parts of each partition, hashed over
+the elements in them; sets near the lower end of a band also join the band below,
+so any two sets that may be similar meet in one band.
 
 * A set has ``need`` signatures at least in common with each set it links with:
-  its filled partitions less the largest possible difference.  Sets of which fewer
-  signatures occur elsewhere are dropped at once.  This takes out documents that
-  merely share a common passage, however common.
-* A set too small or too unevenly dealt to guarantee one filled common partition,
-  in its own band or in the band below, also enumerates its single elements.
-* Sets that remain meet in signature groups.  Small groups give their pairs;
-  in large groups all members are paired with a leader, then, where members are
-  still in different components, with a few representatives, and only the pairs
-  that are apart after that are all tried.  So no group is expanded that is one
-  family of copies, and no link is lost.
-* Pairs that sizes or parity sketches rule out go; every other pair is verified on
-  the sets themselves.
-
-Equal sets are one set from the start.  Signatures travel as packed arrays, one
-row for each pair of tasks: 32 bits of a signature besides its bucket, so that the
-chance of a false common signature depends on a bucket's size only.
+  those it has, less those that the largest possible difference can spoil.  Sets of
+  which fewer signatures occur elsewhere are dropped; of the others, the ``need - 1``
+  most frequent signatures are left out, since one of the rest is common too.  So a
+  passage that many documents share makes no group by itself.
+* A set too small or too unevenly dealt for a guarantee, in its own band or in the
+  band below, also enumerates its single elements.
+* Of the sets left in groups, the elements that another such set has are counted.
+  The count bounds the size of any partner; sets with no possible partner go.
+* Groups are worked off in rounds.  A round compares the members nearest to the
+  rest of their group (representatives: 1, then 8, 64, ... of them) with all other members
+  in another component; then components are found anew.  A family of copies is one
+  component after the first round, so its pairs are not expanded; a pair is left out
+  only if it is in one component already, or if sizes, bounds or parity sketches rule
+  it out.  Every other pair is verified on the sets.
+
+Equal sets are one set from the start.  Shingles are 54-bit hashes; a set's 64-bit
+name is held against a second hash wherever documents get their component.
+Signatures travel as packed arrays, one row for each pair of tasks: 32 bits of a
+signature besides its bucket; a false common signature costs a comparison only.
 """
 
 from __future__ import annotations
@@ -35,15 +39,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .components import components
-from .storage import bucket_keys, materialise, release, shuffle_parts
+from .storage import bucket_keys, discard, materialise, release, shuffle_parts
 from .textarrays import BYTE_VALUES, IS_SPACE, LOWER, blocks, mix, owner, prefix_hashes, runs, span_hashes, text_buffers
 
 U = np.uint64
 THRESHOLD = (80, 100)  # 100 * intersection >= 80 * union
 SHINGLE = 5
-GROUP_PAIRS = 3  # members up to which a group's pairs are listed at once
-LEADERS = 1
-REPRESENTATIVES = 6
+GROWTH = 8  # representatives of a round, times those of the round before
+PARTS = 3  # parts of a partition; the subsets of two of them are its signatures
+MATRIX = 2048  # members up to which all possible partners within a group are looked up
 SKETCH_BITS = 2048
 FLUSH = 1 << 18
 #: Sets (16 bytes each) whose texts are picked by a broadcast join; beyond it both sides are dealt by id.
@@ -52,13 +56,12 @@ _ROW_BITS = 10  # rows of a block; the other bits of a word hold the shingle's h
 
 
 def set_bands(num: int, den: int, up_to: int) -> tuple[np.ndarray, np.ndarray]:
-    """Lower sizes of the bands and the partitions of each: one more than sets of the band can differ in."""
+    """Lower sizes of the bands and the partitions of each: more than half of what sets of the band can differ in."""
     low = [1]
     while low[-1] <= up_to:
         low.append(2 * low[-1])
     low = np.array(low, np.int64)
-    parts = [difference(np.array([2 * x - 1]), num, den)[0] + 1 for x in low.tolist()]
-    return low, np.array(parts, np.int64)
+    return low, difference(2 * low - 1, num, den) // 2 + 1
 
 
 def difference(size: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -113,7 +116,7 @@ def set_ids(sets: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def signatures(sets: np.ndarray, first: np.ndarray, ids: np.ndarray, num: int, den: int):
     """(signature, entity) of all sets, and (entity, set, need) of all entities: a set in one band."""
     size = np.diff(first)
-    low, parts = set_bands(num, den, int(size.max(initial=1)))
+    low, partitions = set_bands(num, den, int(size.max(initial=1)))
     band = np.searchsorted(low, size, "right") - 1
     diff = difference(size, num, den)
     made, entities = [], []
@@ -125,39 +128,56 @@ def signatures(sets: np.ndarray, first: np.ndarray, ids: np.ndarray, num: int, d
         if not len(chosen):
             continue
         entity = mix(ids[chosen] + b[chosen].astype(U) + U(1))
-        length = size[chosen]
+        length, count = size[chosen], partitions[b[chosen]]
         at = np.repeat(first[chosen] - (np.cumsum(length) - length), length) + np.arange(length.sum())
         of = np.repeat(np.arange(len(chosen)), length)
         values = sets[at]
-        p = ((values >> U(22)) * parts[b[chosen]].astype(U)[of]) >> U(32)  # ascending within each set
-        key = (of.astype(U) << U(32)) | p
-        begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        total = np.add.reduceat(mix(values), begin)
-        holder = of[begin]
-        made.append((mix(mix(total + p[begin]) + b[chosen][holder].astype(U)), entity[holder]))
-        filled = np.bincount(holder, minlength=len(chosen))
+        before = np.cumsum(count) - count
+        part = (((values >> U(22)) * (PARTS * count).astype(U)[of]) >> U(32)).astype(np.int64) + PARTS * before[of]  # ascending
+        begin = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        content, filled = np.zeros(PARTS * int(count.sum()), U), np.zeros(PARTS * int(count.sum()), bool)
+        content[part[begin]], filled[part[begin]] = mix(np.add.reduceat(mix(values), begin)), True
+        content, filled = content.reshape(-1, PARTS), filled.reshape(-1, PARTS)
+        holder = np.repeat(np.arange(len(chosen)), count)
+        place = np.arange(len(holder)) - before[holder]
+        for k, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
+            on = np.flatnonzero(filled[:, i] | filled[:, j])
+            where = (place[on] * 256 + b[chosen][holder[on]] * PARTS + k).astype(U)
+            made.append((mix(mix(content[on, i] * U(0x9E3779B97F4A7C15) + content[on, j]) + where), entity[holder[on]]))
+        # of a partition with one filled part, both signatures go with one difference; else two, then the third
+        parts = filled.sum(axis=1)
+        two, three = (np.bincount(holder[x], minlength=len(chosen)) for x in (parts == 1, parts > 1))
         # in the band below, partners are smaller than ``low[band]``: |x| = a and |y| = b differ in (1-t)/(1+t) * (a+b) at most
         most = diff[chosen] if shift == 0 else np.minimum(diff[chosen], (low[band[chosen]] - 1 + length) * (den - num) // (den + num))
-        need = filled - most
+        spoilt = 2 * np.minimum(most, two + three) + np.minimum(np.maximum(most - two - three, 0), three)
+        need = 2 * two + 3 * three - spoilt
         entities.append((entity, ids[chosen], np.maximum(need, 1)))
         weak[chosen] |= need < 1
     if weak.any():
         # two sets that meet in a band in which neither has a guarantee both list their elements
         single = mix(ids + U(0x517CC1B727220A95))
         made.append((mix(sets[np.repeat(weak, size)] + U(0x2545F4914F6CDD1D)), np.repeat(single[weak], size[weak])))
-        entities.append((single[weak], ids[weak], np.ones(int(weak.sum()), np.int64)))
+        entities.append((single[weak], ids[weak], -(-num * size[weak] // den)))
     if not made:
         return (np.zeros(0, U),) * 2, (np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.int64))
     return tuple(np.concatenate(x) for x in zip(*made)), tuple(np.concatenate(x) for x in zip(*entities))
 
 
-PACKED = "bucket int, kind int, payload binary, doc long, n long, k1 long, k2 long"
+PACKED = "bucket int, kind int, payload binary, doc long, n long, k1 long, k2 long, key long"
 _NAMES = [x.split()[0] for x in PACKED.split(", ")]
-_TYPES = [pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-DOC, SIGNATURE, ENTITY, SURVIVOR, PAIR, HOT = range(6)
+_TYPES = [pa.int32(), pa.int32(), pa.binary(), *[pa.int64()] * 5]
+DOC, SIGNATURE, ENTITY, COUNTED, MEMBER, LABEL, PAIR, ELEMENT, FOUND = range(9)
 _SIG = np.dtype([("sig", "<u4"), ("entity", "<u8")])
-_ENTITY = np.dtype([("entity", "<u8"), ("set", "<u8"), ("need", "<i4")])
 _LARGE = np.dtype([("sig", "<u8"), ("set", "<u8")])
+_ITEMS = {
+    SIGNATURE: _SIG,
+    ELEMENT: _SIG,
+    ENTITY: np.dtype([("entity", "<u8"), ("set", "<u8"), ("need", "<i4")]),
+    COUNTED: np.dtype([("sig", "<u8"), ("entity", "<u8"), ("count", "<u4")]),
+    MEMBER: _LARGE,
+    LABEL: np.dtype([("set", "<u8"), ("root", "<u8"), ("size", "<i8"), ("most", "<i8"), ("sketch", "<u8", (SKETCH_BITS // 64,))]),
+    FOUND: np.dtype([("set", "<u8"), ("count", "<u4")]),
+}
 
 
 def _folded(items: np.ndarray) -> bytes:
@@ -167,15 +187,23 @@ def _folded(items: np.ndarray) -> bytes:
     return np.uint64(len(begin)).tobytes() + items["entity"][begin].tobytes() + count.tobytes() + items["sig"].tobytes()
 
 
-def _unfolded(payload: bytes) -> np.ndarray:
+def _unfolded(payload: bytes, bucket: int) -> np.ndarray:
+    """Short signatures get their bucket as upper half."""
     n = int(np.frombuffer(payload, "<u8", 1)[0])
     count = np.frombuffer(payload, "<u4", n, 8 + 8 * n)
     sig = np.frombuffer(payload, "<u4", offset=8 + 12 * n)
-    out = np.empty(len(sig), _SIG)
-    out["sig"], out["entity"] = sig, np.repeat(np.frombuffer(payload, "<u8", n, 8), count)
+    out = np.empty(len(sig), _LARGE)
+    out["sig"], out["set"] = sig.astype(U) | U(bucket << 32), np.repeat(np.frombuffer(payload, "<u8", n, 8), count)
     return out
 
 
+def _rows(length: int, kind: int, **columns: np.ndarray | pa.Array) -> pa.RecordBatch:
+    """Rows that are not packed."""
+    known = {"kind": np.full(length, kind, np.int32), **columns}
+    arrays = [pa.nulls(length, t) if c not in known else known[c] if isinstance(known[c], pa.Array) else pa.array(known[c].view(np.int64) if known[c].dtype == U else known[c]) for c, t in zip(_NAMES, _TYPES)]
+    return pa.RecordBatch.from_arrays(arrays, names=_NAMES)
+
+
 def _packed(kind: int, items: np.ndarray, target: np.ndarray, keys: list[int]) -> Iterator[pa.RecordBatch]:
     """A row for each bucket that has items."""
     fold = items.dtype == _SIG
@@ -184,28 +212,27 @@ def _packed(kind: int, items: np.ndarray, target: np.ndarray, keys: list[int]) -
     edges = np.searchsorted(target[order], np.arange(len(keys) + 1))
     rows = [(keys[b], _folded(items[a:z]) if fold else items[a:z].tobytes()) for b, (a, z) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())) if z > a]
     if rows:
-        arrays = [pa.array([r[0] for r in rows], pa.int32()), pa.array([kind] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())]
-        yield pa.RecordBatch.from_arrays(arrays + [pa.nulls(len(rows), t) for t in _TYPES[3:]], names=_NAMES)
+        yield _rows(len(rows), kind, bucket=np.array([r[0] for r in rows], np.int32), payload=pa.array([r[1] for r in rows], pa.binary()))
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch], kinds: dict[int, np.dtype], passed: list[pa.RecordBatch]) -> dict[int, np.ndarray]:
-    """The packed items by kind; short signatures get their bucket as upper half."""
+def _unpacked(batches: Iterator[pa.RecordBatch], kinds: tuple[int, ...], passed: list[pa.RecordBatch]) -> dict[int, np.ndarray]:
+    """The packed items by kind; rows of other kinds go to ``passed``."""
     got: dict[int, list[np.ndarray]] = {k: [] for k in kinds}
     for batch in batches:
         kind = batch.column(1).to_numpy()
-        rest = np.flatnonzero(~np.isin(kind, list(kinds)))
-        if len(rest):
-            passed.append(batch.take(pa.array(rest)))
-        for i in np.flatnonzero(np.isin(kind, list(kinds))).tolist():
-            payload = batch.column(2)[i].as_py()
-            if kinds[int(kind[i])] == _SIG:
-                small = _unfolded(payload)
-                wide = np.empty(len(small), _LARGE)
-                wide["sig"], wide["set"] = small["sig"].astype(U) | U(batch.column(0)[i].as_py() << 32), small["entity"]
-                got[int(kind[i])].append(wide)
-            else:
-                got[int(kind[i])].append(np.frombuffer(payload, kinds[int(kind[i])]))
-    return {k: np.concatenate(v) if v else np.zeros(0, _LARGE if kinds[k] == _SIG else kinds[k]) for k, v in got.items()}
+        mine = np.isin(kind, kinds)
+        if not mine.all():
+            passed.append(batch.take(pa.array(np.flatnonzero(~mine))))
+        for i in np.flatnonzero(mine).tolist():
+            payload, k = batch.column(2)[i].as_py(), int(kind[i])
+            got[k].append(_unfolded(payload, batch.column(0)[i].as_py()) if _ITEMS[k] == _SIG else np.frombuffer(payload, _ITEMS[k]))
+    return {k: np.concatenate(v) if v else np.zeros(0, _LARGE if _ITEMS[k] == _SIG else _ITEMS[k]) for k, v in got.items()}
+
+
+def _begins(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and size of each group of equal values."""
+    begin = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(ordered) else np.zeros(0, np.int64)
+    return begin, np.diff(np.append(begin, len(ordered)))
 
 
 def _distinct(items: np.ndarray, *fields: str) -> np.ndarray:
@@ -224,16 +251,8 @@ def _bucket(values: np.ndarray, n: int) -> np.ndarray:
     return ((values >> U(32)) * U(n) >> U(32)).astype(np.int64)
 
 
-def _groups(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order by signature, begin and size of each group."""
-    order = np.argsort(sig)
-    ordered = sig[order]
-    begin = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(sig) else np.zeros(0, np.int64)
-    return order, begin, np.diff(np.append(begin, len(sig)))
-
-
-def _scan(docs: DataFrame, keys: list[int], num: int, den: int, n: int) -> DataFrame:
-    """Sets of all texts: their ids (DOC) and, once for each set in a task, signatures."""
+def _scan(rows: DataFrame, keys: list[int], num: int, den: int, n: int) -> DataFrame:
+    """Sets of all texts: their names (DOC) and, once for each set in a task, signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -247,25 +266,21 @@ def _scan(docs: DataFrame, keys: list[int], num: int, den: int, n: int) -> DataF
                 items["sig"], items["entity"] = sig & U(0xFFFFFFFF), entity
                 yield from _packed(SIGNATURE, items, _bucket(sig, len(keys)), keys)
                 entity, of, need = (np.concatenate(x) for x in zip(*entities))
-                items = np.empty(len(entity), _ENTITY)
+                items = np.empty(len(entity), _ITEMS[ENTITY])
                 items["entity"], items["set"], items["need"] = entity, of, need
                 yield from _packed(ENTITY, items, _bucket(entity, len(keys)), keys)
                 held.clear()
                 entities.clear()
+                seen.clear()
 
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
             for lo, hi, d, o in blocks(data, offsets, rows=1 << _ROW_BITS):
                 sets, first = shingle_sets(d, o, n)
                 k1, k2 = set_ids(sets, first)
-                rows = hi - lo
-                arrays = [pa.array(np.array(keys, np.int32)[(np.arange(rows) + lo) % len(keys)]), pa.array(np.full(rows, DOC, np.int32)), pa.nulls(rows, pa.binary()), batch.column(0).slice(lo, rows), pa.array(np.diff(first)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64))]
-                yield pa.RecordBatch.from_arrays(arrays, names=_NAMES)
-                fresh = np.zeros(rows, bool)
-                for i, k in enumerate(k1.tolist()):
-                    if k not in seen:
-                        seen.add(k)
-                        fresh[i] = True
+                dealt = np.array(keys, np.int32)[(np.arange(hi - lo) + lo) % len(keys)]
+                yield _rows(hi - lo, DOC, bucket=dealt, doc=batch.column(0).slice(lo, hi - lo), n=np.diff(first), k1=k1, k2=k2, key=batch.column(2).slice(lo, hi - lo))
+                fresh = np.array([k not in seen and not seen.add(k) for k in k1.tolist()], bool)
                 size = np.where(fresh, np.diff(first), 0)
                 made, found = signatures(sets[np.repeat(fresh, np.diff(first))], np.append(0, np.cumsum(size)), k1, num, den)
                 held.append(made)
@@ -274,98 +289,248 @@ def _scan(docs: DataFrame, keys: list[int], num: int, den: int, n: int) -> DataF
                     yield from flush()
         yield from flush()
 
-    rows = docs.select(F.col("__ml_id").alias("doc"), F.col("__ml_text").alias("text"))
-    return rows.mapInArrow(run, PACKED)
+    return rows.select("__ml_id", "__ml_text", "__ml_key").mapInArrow(run, PACKED)
+
+
+def _common(got: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signature, holder and number of rows of the signatures that two holders or more have."""
+    got = got[np.argsort(got["sig"])]
+    begin, size = _begins(got["sig"])
+    if not len(got):
+        return got["sig"], got["set"], np.zeros(0, np.int64)
+    several = np.minimum.reduceat(got["set"], begin) != np.maximum.reduceat(got["set"], begin)
+    kept = np.repeat(several, size)
+    return got["sig"][kept], got["set"][kept], np.repeat(size, size)[kept]
 
 
 def _shared(keys: list[int]):
-    """Signatures that two sets or more have, dealt by entity."""
+    """Signatures that two entities or more have, with their frequency, dealt by entity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passed: list[pa.RecordBatch] = []
-        got = _unpacked(batches, {SIGNATURE: _SIG}, passed)[SIGNATURE]
+        sig, entity, count = _common(_unpacked(batches, (SIGNATURE,), passed)[SIGNATURE])
         yield from passed
-        order, begin, size = _groups(got["sig"])
-        if not len(order):
-            return
-        entity = got["set"][order]
-        several = np.minimum.reduceat(entity, begin) != np.maximum.reduceat(entity, begin)
-        kept = np.repeat(several, size)
-        items = np.empty(int(kept.sum()), _LARGE)
-        items["sig"], items["set"] = got["sig"][order][kept], entity[kept]
-        yield from _packed(SIGNATURE, items, _bucket(items["set"], len(keys)), keys)
+        items = np.empty(len(sig), _ITEMS[COUNTED])
+        items["sig"], items["entity"], items["count"] = sig, entity, np.minimum(count, 0xFFFFFFFF)
+        yield from _packed(COUNTED, items, _bucket(entity, len(keys)), keys)
 
     return run
 
 
 def _survivors(keys: list[int]):
-    """Signatures of entities that have as many shared ones as a link needs, dealt by signature."""
+    """The rarest shared signatures of entities that have enough of them, all but ``need - 1``, dealt by signature.
+
+    Two entities that link have ``need`` in common at least; the rarest of these is
+    followed by ``need - 1`` more in the order of either, so it is not left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = _unpacked(batches, {SIGNATURE: _LARGE, ENTITY: _ENTITY}, [])
-        sig, known = _distinct(got[SIGNATURE], "set", "sig"), _distinct(got[ENTITY], "entity")
-        entity, at, count = np.unique(sig["set"], return_inverse=True, return_counts=True)
-        place = np.searchsorted(known["entity"], entity)
-        kept = count >= known["need"][place]
-        chosen = kept[at]
-        items = np.empty(int(chosen.sum()), _LARGE)
-        items["sig"] = mix(sig["sig"][chosen])
-        items["set"] = known["set"][place][at][chosen]
-        yield from _packed(SIGNATURE, items, _bucket(items["sig"], len(keys)), keys)
-        sets = np.unique(known["set"][place][kept])
-        if len(sets):
-            arrays = [pa.nulls(len(sets), t) for t in _TYPES]
-            arrays[1], arrays[5] = pa.array(np.full(len(sets), SURVIVOR, np.int32)), pa.array(sets.view(np.int64))
-            yield pa.RecordBatch.from_arrays(arrays, names=_NAMES)
+        got = _unpacked(batches, (COUNTED, ENTITY), [])
+        known, sig = _distinct(got[ENTITY], "entity"), _distinct(got[COUNTED], "entity", "count", "sig")
+        begin, count = _begins(sig["entity"])
+        place = np.searchsorted(known["entity"], sig["entity"][begin])
+        kept = np.arange(len(sig)) - np.repeat(begin, count) <= np.repeat(count - known["need"][place], count)
+        items = np.empty(int(kept.sum()), _LARGE)
+        items["sig"], items["set"] = mix(sig["sig"][kept]), np.repeat(known["set"][place], count)[kept]
+        yield from _packed(MEMBER, items, _bucket(items["sig"], len(keys)), keys)
 
     return run
 
 
-def _pair_rows(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
-    if not len(a):
-        return
-    pairs = np.empty(len(a), _LARGE)
-    pairs["sig"], pairs["set"] = np.minimum(a, b), np.maximum(a, b)
-    pairs = _distinct(pairs, "sig", "set")
-    arrays = [pa.nulls(len(pairs), t) for t in _TYPES]
-    arrays[1], arrays[5], arrays[6] = pa.array(np.full(len(pairs), PAIR, np.int32)), pa.array(pairs["sig"].copy().view(np.int64)), pa.array(pairs["set"].copy().view(np.int64))
-    yield pa.RecordBatch.from_arrays(arrays, names=_NAMES)
+def _grouped(keys: list[int]):
+    """Members of the groups of two sets or more, dealt by set."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = _distinct(_unpacked(batches, (MEMBER,), [])[MEMBER], "sig", "set")
+        _, size = _begins(got["sig"])
+        got = got[np.repeat(size, size) > 1]
+        yield from _packed(MEMBER, got, _bucket(got["set"], len(keys)), keys)
 
-def _pairs(keys: list[int], limit: int, leaders: int):
-    """Pairs of small groups, pairs with leaders of large ones; the large groups' members once more (HOT)."""
+    return run
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each set of a bucket once."""
+    yield pa.RecordBatch.from_arrays([pa.array(np.unique(_unpacked(batches, (MEMBER,), [])[MEMBER]["set"]).view(np.int64))], names=["set"])
+
+
+def parity_sketch(elements: np.ndarray) -> bytes:
+    """A bit for each hash slot: whether it holds an odd number of elements.  Sets differ in at least as many elements as sketches in bits."""
+    odd = np.bincount((mix(elements + U(3)) % U(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+ELEMENTS = "bucket int, set long, size long, sketch binary, elements binary"
+
+
+def _elements(n: int, keys: list[int]):
+    """Elements of the sets (column 0) from texts (column 1); a text that is not of its set goes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passed: list[pa.RecordBatch] = []
-        got = _distinct(_unpacked(batches, {SIGNATURE: _LARGE}, passed)[SIGNATURE], "sig", "set")
-        yield from passed
-        begin = np.flatnonzero(np.append(True, got["sig"][1:] != got["sig"][:-1])) if len(got) else np.zeros(0, np.int64)
-        size = np.diff(np.append(begin, len(got)))
-        member = got["set"]
-        a, b = [], []
-        for n in range(2, limit + 1):
-            at = begin[size == n]
-            for i in range(n - 1):
-                for j in range(i + 1, n):
-                    a.append(member[at + i])
-                    b.append(member[at + j])
-            if sum(map(len, a)) > 2_000_000:
-                yield from _pair_rows(np.concatenate(a), np.concatenate(b))
-                a, b = [], []
-        large = np.flatnonzero(size > limit)
-        for g in large.tolist():
-            x = member[begin[g] : begin[g] + size[g]]
-            lead = x[np.argsort(mix(x))[:leaders]]  # the same ones in all groups of a family
-            a.append(np.tile(x, len(lead)))
-            b.append(np.repeat(lead, len(x)))
-        if a:
-            a, b = np.concatenate(a), np.concatenate(b)
-            yield from _pair_rows(a[a != b], b[a != b])
-        hot = got[np.repeat(size > limit, size)]
-        if len(hot):
-            arrays = [pa.nulls(len(hot), t) for t in _TYPES]
-            arrays[1], arrays[5], arrays[6] = pa.array(np.full(len(hot), HOT, np.int32)), pa.array(hot["sig"].copy().view(np.int64)), pa.array(hot["set"].copy().view(np.int64))
-            yield pa.RecordBatch.from_arrays(arrays, names=_NAMES)
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(1))
+            wanted = batch.column(0).to_numpy().view(U)
+            for lo, hi, d, o in blocks(data, offsets, rows=1 << _ROW_BITS):
+                sets, first = shingle_sets(d, o, n)
+                right = np.flatnonzero(set_ids(sets, first)[0] == wanted[lo:hi])
+                parts = [sets[first[i] : first[i + 1]] for i in right.tolist()]
+                bucket = np.array(keys, np.int32)[_bucket(wanted[lo:hi][right], len(keys))]
+                arrays = [pa.array(bucket), pa.array(wanted[lo:hi][right].view(np.int64)), pa.array(np.diff(first)[right]), pa.array([parity_sketch(x) for x in parts], pa.binary()), pa.array([x.astype("<u8").tobytes() for x in parts], pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in ELEMENTS.split(", ")])
+
+    return run
+
+
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a bucket, the first of each set."""
+    seen: set[int] = set()
+    for batch in batches:
+        yield batch.filter(pa.array([s not in seen and not seen.add(s) for s in batch.column(1).to_pylist()], pa.bool_()))
+
+
+def _asked(keys: list[int]):
+    """The elements of all sets, dealt by element."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                values, sets = (np.concatenate(x) for x in zip(*held))
+                items = np.empty(len(values), _SIG)
+                items["sig"], items["entity"] = values & U(0xFFFFFFFF), sets
+                yield from _packed(ELEMENT, items, _bucket(values, len(keys)), keys)
+                held.clear()
+
+        for batch in batches:
+            for name, raw in zip(batch.column(0).to_numpy().view(U), batch.column(1)):
+                values = mix(np.frombuffer(raw.as_py(), "<u8"))
+                held.append((values, np.full(len(values), name, U)))
+                if sum(len(x[0]) for x in held) > FLUSH:
+                    yield from flush()
+        yield from flush()
+
+    return run
+
+
+def _met(keys: list[int]):
+    """Of each set the number of elements that another set has too, bucket by bucket, dealt by set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, count = np.unique(_common(_unpacked(batches, (ELEMENT,), [])[ELEMENT])[1], return_counts=True)
+        items = np.empty(len(sets), _ITEMS[FOUND])
+        items["set"], items["count"] = sets, count
+        yield from _packed(FOUND, items, _bucket(sets, len(keys)), keys)
+
+    return run
+
+
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    got = _unpacked(batches, (FOUND,), [])[FOUND]
+    sets, at = np.unique(got["set"], return_inverse=True)
+    found = np.bincount(at, got["count"], len(sets)).astype(np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(sets.view(np.int64)), pa.array(found)], names=["set", "found"])
+
+
+def _label(keys: list[int], sketched: bool):
+    """Members of the groups and, once for each task that needs it, what is known of their sets, dealt by signature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[pa.RecordBatch] = []
+        got = _unpacked(batches, (MEMBER,), rows)[MEMBER]
+        if not rows or not len(got):
+            return
+        labels = np.zeros(sum(len(r) for r in rows), _ITEMS[LABEL])
+        for field, column in (("size", 3), ("most", 4), ("set", 5), ("root", 6)):
+            values = np.concatenate([r.column(column).to_numpy() for r in rows])
+            labels[field] = values.view(U) if labels[field].dtype == U else values
+        if sketched:
+            labels["sketch"] = np.frombuffer(b"".join(x.as_py() for r in rows for x in r.column(2)), "<u8").reshape(len(labels), -1)
+        labels = labels[np.argsort(labels["set"])]
+        place = np.minimum(np.searchsorted(labels["set"], got["set"]), len(labels) - 1)
+        known = labels["set"][place] == got["set"]
+        got, place = got[known], place[known]
+        target = _bucket(got["sig"], len(keys))
+        yield from _packed(MEMBER, got, target, keys)
+        both = np.unique((target.astype(U) << U(32)) | place.astype(U))
+        place, target = (both & U(0xFFFFFFFF)).astype(np.int64), (both >> U(32)).astype(np.int64)
+        for lo in range(0, len(place), 1 << 16):
+            yield from _packed(LABEL, labels[place[lo : lo + (1 << 16)]], target[lo : lo + (1 << 16)], keys)
+
+    return run
+
+
+def _choose(keys: list[int], representatives: int, sketched: bool, matrix: int, num: int, den: int):
+    """Pairs to be verified: the first representatives of each group with its other members.
+
+    Yields, dealt by set, also the members that still may link with one of another
+    component, without the representatives.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = _unpacked(batches, (MEMBER, LABEL), [])
+        labels, items = _distinct(got[LABEL], "set"), got[MEMBER]
+        if not len(items):
+            return
+        at = np.searchsorted(labels["set"], items["set"])
+        near = labels["most"] * 1024 // np.maximum(labels["size"], 1)
+        order = np.lexsort((mix(items["set"]), -near[at], items["sig"]))
+        items, at = items[order], at[order]
+        size, most, root = (labels[x][at] for x in ("size", "most", "root"))
+        pairs: list[np.ndarray] = []
+        rest = np.zeros(len(items), bool)
+
+        def possible(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            return (size[y] <= most[x]) & (size[x] <= most[y]) & (root[x] != root[y])
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if not pairs:
+                return
+            both = np.unique(np.concatenate(pairs))
+            pairs.clear()
+            for lo in range(0, len(both), 1 << 14):
+                a, b = ((x & U(0xFFFFFFFF)).astype(np.int64) for x in (both[lo : lo + (1 << 14)] >> U(32), both[lo : lo + (1 << 14)]))
+                if sketched:
+                    apart = np.bitwise_count(labels["sketch"][a] ^ labels["sketch"][b]).sum(axis=1, dtype=np.int64)
+                    kept = apart * (den + num) <= (den - num) * (labels["size"][a] + labels["size"][b])
+                    a, b = a[kept], b[kept]
+                if len(a):
+                    yield _rows(len(a), PAIR, k1=labels["set"][a], k2=labels["set"][b])
+
+        def note(x: np.ndarray, y: np.ndarray) -> None:
+            x, y = at[x], at[y]
+            pairs.append((np.minimum(x, y).astype(U) << U(32)) | np.maximum(x, y).astype(U))
+
+        begin, count = _begins(items["sig"])
+        for m in np.unique(count[count > 1]).tolist():
+            where = begin[count == m]
+            if m <= matrix:
+                step = max(1, (1 << 21) // (m * m))
+                for lo in range(0, len(where), step):
+                    x = where[lo : lo + step, None] + np.arange(m)
+                    ok = possible(x[:, :, None], x[:, None, :])
+                    live = ok.any(axis=2)
+                    first = live & (np.cumsum(live, axis=1) <= representatives)
+                    g, i, j = np.nonzero(ok & first[:, :, None])
+                    note(x[g, i], x[g, j])
+                    later = live & ~first
+                    rest[x] = (ok & later[:, None, :]).any(axis=2) & later
+                    if sum(map(len, pairs)) > 1 << 20:
+                        yield from flush()
+                continue
+            for start in where.tolist():
+                x = np.arange(start, start + m)
+                if root[x].min() == root[x].max():
+                    continue
+                for i in x[:representatives].tolist():
+                    other = x[x > i]
+                    other = other[possible(np.full(len(other), i), other)]
+                    note(np.full(len(other), i), other)
+                    if sum(map(len, pairs)) > 1 << 20:
+                        yield from flush()
+                rest[x[representatives:]] = True
+        yield from flush()
+        yield from _packed(MEMBER, items[rest], _bucket(items["set"][rest], len(keys)), keys)
 
     return run
 
@@ -390,43 +555,15 @@ def _forest(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return kept
 
 
-def parity_sketch(elements: np.ndarray) -> bytes:
-    """A bit for each hash slot: whether it holds an odd number of elements.  Sets differ in at least as many elements as sketches in bits."""
-    odd = np.bincount((mix(elements + U(3)) % U(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).tobytes()
-
-
-def _possible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs whose sizes and sketches leave a link possible; no link is lost."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, m = (batch.column(k).to_numpy() for k in (2, 4))
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, SKETCH_BITS // 8) for k in (3, 5))
-            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-            keep = (num * np.maximum(n, m) <= den * np.minimum(n, m)) & (apart * (den + num) <= (den - num) * (n + m))
-            yield batch.filter(pa.array(keep)).select([0, 1])
-
-    side = lambda key, n, x: sets.select(F.col("set").alias(key), F.col("size").alias(n), F.col("sketch").alias(x))
-    near = pairs.join(side("a", "n", "x"), "a").join(side("b", "m", "y"), "b").select("a", "b", "n", "x", "m", "y")
-    return near.mapInArrow(run, "a long, b long")
-
-
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) among the pairs: exact on the sets.  Each task leaves out links that others of it imply."""
-    pairs = materialise(_possible(pairs, sets, num, den), "jaccard-possible")
+    """Links (a, b) among the pairs: exact on the sets.  Each batch leaves out links that others of it imply."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            keep_a, keep_b, last, x = [], [], None, None
+            keep_a, keep_b = [], []
             for i, (p, q) in enumerate(zip(a, b)):
-                if p != last:
-                    last, x = p, np.frombuffer(batch.column(2)[i].as_py(), "<u8")
-                y = np.frombuffer(batch.column(3)[i].as_py(), "<u8")
-                if num * max(len(x), len(y)) > den * min(len(x), len(y)):
-                    continue
-                both = np.concatenate([x, y])
+                both = np.concatenate([np.frombuffer(batch.column(k)[i].as_py(), "<u8") for k in (2, 3)])
                 both.sort()
                 common = int((both[1:] == both[:-1]).sum())
                 if den * common >= num * (len(both) - common):
@@ -440,82 +577,75 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _elements(n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = text_buffers(batch.column(1))
-            for lo, hi, d, o in blocks(data, offsets, rows=1 << _ROW_BITS):
-                sets, first = shingle_sets(d, o, n)
-                raw = sets.astype("<u8").tobytes()
-                payload = [raw[8 * a : 8 * b] for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
-                sketches = [parity_sketch(sets[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
-                arrays = [batch.column(0).slice(lo, hi - lo), pa.array(np.diff(first)), pa.array(sketches, pa.binary()), pa.array(payload, pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["set", "size", "sketch", "elements"])
-
-    return run
-
-
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD, group_pairs: int = GROUP_PAIRS, leaders: int = LEADERS) -> DataFrame:
+def _possible_sets(rows: DataFrame, groups: DataFrame, reps: DataFrame, parts: int, keys: list[int], num: int, den: int, n: int) -> DataFrame:
+    """(bucket, set, size, most, sketch, elements) of the sets in groups that may have a partner; ``most``: its largest size."""
+    alive = groups.repartition(parts, "bucket").mapInArrow(_members, "set long")
+    chosen = materialise(alive.join(reps.groupBy(F.col("k1").alias("set")).agg(F.min("key").alias("__ml_key")), "set"), "jaccard-chosen")
+    near = F.broadcast(chosen) if chosen.count() <= BROADCAST_SETS else chosen.hint("shuffle_hash")
+    texts = rows.join(near, "__ml_key").select("set", "__ml_text")
+    elements = materialise(texts.mapInArrow(_elements(n, keys), ELEMENTS).repartition(parts, "bucket").mapInArrow(_once, ELEMENTS), "jaccard-elements")
+    asked = elements.select("set", "elements").mapInArrow(_asked(keys), PACKED).repartition(parts, "bucket").mapInArrow(_met(keys), PACKED)
+    found = asked.repartition(parts, "bucket").mapInArrow(_totals, "set long, found long")
+    # common elements c of sets of a and b link them if c * (num + den) >= num * (a + b)
+    bound = (F.floor(F.col("found") * (num + den) / num) - F.col("size")).cast("long")
+    sets = elements.join(found, "set").withColumn("most", bound).where(F.col("most") * den >= F.col("size") * num)
+    sets = materialise(sets.select("bucket", "set", "size", "most", "sketch", "elements"), "jaccard-sets")
+    discard(chosen, elements)
+    return sets
+
+
+def _linked(groups: DataFrame, sets: DataFrame, parts: int, keys: list[int], matrix: int, num: int, den: int) -> DataFrame:
+    """(node, root) of all sets that link with another one."""
+    spark, links, roots, representatives = groups.sparkSession, None, None, 1
+    while True:
+        sketched = roots is not None
+        known = sets if roots is None else sets.join(roots.withColumnRenamed("node", "set"), "set", "left")
+        root = F.col("set") if roots is None else F.coalesce("root", "set")
+        labels = known.select("bucket", F.lit(LABEL).alias("kind"), (F.col("sketch") if sketched else F.lit(None).cast("binary")).alias("payload"), F.col("size").alias("doc"), F.col("most").alias("n"), F.col("set").alias("k1"), root.alias("k2"), F.lit(None).cast("long").alias("key"))
+        labelled = groups.unionByName(labels).repartition(parts, "bucket").mapInArrow(_label(keys, sketched), PACKED)
+        out = materialise(labelled.repartition(parts, "bucket").mapInArrow(_choose(keys, representatives, sketched, matrix, num, den), PACKED), "jaccard-round")
+        pairs = out.where(F.col("kind") == PAIR).select(F.col("k1").alias("a"), F.col("k2").alias("b")).distinct()
+        new = materialise(_verified(pairs, sets, num, den), "jaccard-links")
+        discard(groups)
+        release(spark)
+        if links is None or not new.isEmpty():
+            links = new if links is None else links.unionByName(new)
+            roots = components(links)
+        groups = out.where(F.col("kind") == MEMBER)
+        groups._matchloom_path = out._matchloom_path
+        if groups.isEmpty():
+            discard(groups)
+            return roots
+        representatives *= GROWTH
+
+
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD, matrix: int = MATRIX) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each row of ``docs``.
 
     Null, empty and blank texts have no shingles and are their own component.
     A text of fewer words than a shingle is one shingle.  Rows with a null id are
-    linked like others but name no component.  Further columns are not read.
+    linked like others but name no component; rows that share an id each keep the
+    component of their own text.  Further columns are not read.
     """
     spark, (num, den) = docs.sparkSession, threshold
-    parts = shuffle_parts(spark)
+    parts = shuffle_parts(spark, docs)
     keys = bucket_keys(spark, parts)
     rows = docs.select(F.col(id_col).cast("long").alias("__ml_id"), F.col(text_col).cast("string").alias("__ml_text"))
+    rows = rows.withColumn("__ml_key", F.xxhash64("__ml_id", "__ml_text"))
     shared = materialise(_scan(rows, keys, num, den, shingle).repartition(parts, "bucket").mapInArrow(_shared(keys), PACKED), "jaccard-shared")
-    of_doc = shared.where(F.col("kind") == DOC).select("doc", "n", "k1", "k2")
+    of_doc = shared.where(F.col("kind") == DOC).select("doc", "n", "k1", "k2", "key")
     release(spark)
     packed = shared.where(F.col("kind") != DOC).repartition(parts, "bucket").mapInArrow(_survivors(keys), PACKED)
-    alive = materialise(packed.repartition(parts, "bucket").mapInArrow(_pairs(keys, group_pairs, leaders), PACKED), "jaccard-pairs")
-    pairs = alive.where(F.col("kind") == PAIR).select(F.col("k1").alias("a"), F.col("k2").alias("b")).distinct()
-    survivors = alive.where(F.col("kind") == SURVIVOR).select(F.col("k1").alias("set")).distinct()
-    reps = materialise(of_doc.where("n > 0").groupBy("k1", "k2").agg(F.min("doc").alias("rep")), "jaccard-reps")
-    chosen = survivors.join(reps.groupBy(F.col("k1").alias("set")).agg(F.min("rep").alias("__ml_id")), "set")
-    chosen = materialise(chosen, "jaccard-chosen")
-    near = F.broadcast(chosen) if chosen.count() <= BROADCAST_SETS else chosen.hint("shuffle_hash")
-    texts = rows.join(near, "__ml_id").select("set", "__ml_text")
-    sets = materialise(texts.mapInArrow(_elements(shingle), "set long, size long, sketch binary, elements binary").dropDuplicates(["set"]), "jaccard-sets")
+    groups = materialise(packed.repartition(parts, "bucket").mapInArrow(_grouped(keys), PACKED), "jaccard-groups")
+    first = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "key"))
+    reps = of_doc.where("n > 0").groupBy("k1", "k2").agg(first.alias("first")).select("k1", "k2", F.col("first.doc").alias("rep"), "first.key")
+    reps = materialise(reps, "jaccard-reps")
+    sets = _possible_sets(rows, groups, reps, parts, keys, num, den, shingle)
     release(spark)
-    links = materialise(_verified(pairs, sets, num, den), "jaccard-links")
-    hot = alive.where(F.col("kind") == HOT).select(F.col("k1").alias("sig"), F.col("k2").alias("set"))
-    for tried in (_with_representatives, _all_apart):
-        mixed = materialise(_mixed_groups(hot, components(links)), "jaccard-mixed")
-        if mixed.isEmpty():
-            break
-        links = materialise(links.unionByName(_verified(tried(mixed), sets, num, den)), "jaccard-links")
-        hot = mixed.select("sig", "set")
-        release(spark)
-    roots = components(links)
+    roots = _linked(groups, sets, parts, keys, matrix, num, den)
     named = roots.join(reps.select(F.col("k1").alias("node"), "rep"), "node")
     least = named.groupBy("root").agg(F.min("rep").alias("component"))
-    of_set = materialise(reps.join(roots.join(least, "root").select(F.col("node").alias("k1"), "component"), "k1", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component")), "jaccard-components")
+    of_set = reps.join(roots.join(least, "root").select(F.col("node").alias("k1"), "component"), "k1", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
+    of_set = materialise(of_set, "jaccard-components")
+    discard(sets, reps)
     return of_doc.join(of_set, ["k1", "k2"], "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc")).otherwise(F.col("component")).alias("component_id"))
-
-
-def _mixed_groups(hot: DataFrame, roots: DataFrame) -> DataFrame:
-    """(sig, set, root) of the large groups whose members the links so far leave in different components."""
-    labelled = hot.join(roots.withColumnRenamed("node", "set"), "set", "left").select("sig", "set", F.coalesce("root", "set").alias("root"))
-    mixed = labelled.groupBy("sig").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("sig")
-    return labelled.join(mixed, "sig").select("sig", "set", "root")
-
-
-def _with_representatives(mixed: DataFrame) -> DataFrame:
-    """Pairs of members with a few representatives of their group in other components.
-
-    Members of one family of copies nearly all link with one of several others, so
-    this leaves few members for the last round.
-    """
-    choice = [F.min(F.struct(F.xxhash64("set", F.lit(j)).alias("h"), F.col("set").alias("other"), F.col("root").alias("other_root"))).alias(f"r{j}") for j in range(REPRESENTATIVES)]
-    chosen = mixed.groupBy("sig").agg(*choice).select("sig", F.explode(F.array_distinct(F.array(*[f"r{j}" for j in range(REPRESENTATIVES)]))).alias("r")).select("sig", "r.other", "r.other_root")
-    pairs = mixed.join(chosen, "sig").where("root <> other_root")
-    return pairs.select(F.least("set", "other").alias("a"), F.greatest("set", "other").alias("b")).distinct()
-
-
-def _all_apart(mixed: DataFrame) -> DataFrame:
-    """All pairs of a group's members in different components: what is left to try."""
-    right = mixed.select("sig", F.col("set").alias("other"), F.col("root").alias("other_root"))
-    return mixed.join(right, "sig").where("set < other and root <> other_root").select(F.col("set").alias("a"), F.col("other").alias("b")).distinct()

@@ -55,14 +55,38 @@ def corpus(seed, families=25, members=9, common=True):
     return [(int(i), t) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("seed,limit", [(1, 24), (2, 3)])
+def family(seed, members=120, words=90):
+    """Copies of one text with up to a fifth of their words changed, most of which do not link with one another."""
+    rng = np.random.default_rng(seed)
+    base = [f"b{i}" for i in range(words)]
+    out = []
+    for _ in range(members):
+        copy = list(base)
+        for at in rng.choice(words, rng.integers(0, 8), replace=False):
+            copy[at] = f"n{rng.integers(0, 40)}"
+        out.append(" ".join(copy[: words - int(rng.integers(0, 3))]))
+    return out
+
+
+@pytest.mark.parametrize("seed,limit", [(1, 2048), (2, 3)])
 def test_components_equal_brute_force(spark, seed, limit):
     rows = corpus(seed)
+    rows += [(1000 + i, t) for i, t in enumerate(family(seed))]
     docs = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id long, text string, component_id string, k1 int").repartition(3)
-    got = sorted(tuple(r) for r in partenum.similar_components(docs, group_pairs=limit, leaders=1).collect())
+    got = sorted(tuple(r) for r in partenum.similar_components(docs, matrix=limit).collect())
     assert got == brute(rows)
 
 
+def test_null_ids_and_ids_of_two_texts_link(spark):
+    words = [f"w{i}" for i in range(60)]
+    left, right = " ".join(["x", "y"] + words), " ".join(words + ["p", "q"])
+    middle, far = " ".join(words), " ".join(f"z{i}" for i in range(30))
+    longer = " ".join(["x1", "y1", "v1", "u1", "t1"] + words + ["p1", "q1", "r1", "s1"])
+    rows = [(1, left), (2, right), (None, middle), (5, far), (5, longer), (8, far + " end")]
+    got = sorted((tuple(r) for r in partenum.similar_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()), key=str)
+    assert got == sorted([(1, 58, 1), (2, 58, 1), (None, 56, 1), (5, 26, 5), (5, 65, 1), (8, 27, 5)], key=str)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert partenum.similar_components(docs).count() == 0
