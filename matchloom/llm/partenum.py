@@ -47,6 +47,8 @@ THRESHOLD = (80, 100)  # 100 * intersection >= 80 * union
 SHINGLE = 5
 GROWTH = 8  # representatives of a round, times those of the round before
 PARTS = 3  # parts of a partition; the subsets of two of them are its signatures
+LEAST_PARTS = 8
+TASK_BYTES = 1 << 20  # packed signatures of one task after the first rounds
 MATRIX = 2048  # members up to which all possible partners within a group are looked up
 SKETCH_BITS = 2048
 FLUSH = 1 << 18
@@ -254,7 +256,7 @@ def _bucket(values: np.ndarray, n: int) -> np.ndarray:
 def _scan(rows: DataFrame, keys: list[int], num: int, den: int, n: int) -> DataFrame:
     """Sets of all texts: their names (DOC) and, once for each set in a task, signatures."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         held: list[tuple[np.ndarray, ...]] = []
         entities: list[tuple[np.ndarray, ...]] = []
@@ -289,7 +291,7 @@ def _scan(rows: DataFrame, keys: list[int], num: int, den: int, n: int) -> DataF
                     yield from flush()
         yield from flush()
 
-    return rows.select("__ml_id", "__ml_text", "__ml_key").mapInArrow(run, PACKED)
+    return rows.select("__ml_id", "__ml_text", "__ml_key").mapInArrow(signed, PACKED)
 
 
 def _common(got: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -306,7 +308,7 @@ def _common(got: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _shared(keys: list[int]):
     """Signatures that two entities or more have, with their frequency, dealt by entity."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passed: list[pa.RecordBatch] = []
         sig, entity, count = _common(_unpacked(batches, (SIGNATURE,), passed)[SIGNATURE])
         yield from passed
@@ -314,7 +316,7 @@ def _shared(keys: list[int]):
         items["sig"], items["entity"], items["count"] = sig, entity, np.minimum(count, 0xFFFFFFFF)
         yield from _packed(COUNTED, items, _bucket(entity, len(keys)), keys)
 
-    return run
+    return shared
 
 
 def _survivors(keys: list[int]):
@@ -324,7 +326,7 @@ def _survivors(keys: list[int]):
     followed by ``need - 1`` more in the order of either, so it is not left out.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = _unpacked(batches, (COUNTED, ENTITY), [])
         known, sig = _distinct(got[ENTITY], "entity"), _distinct(got[COUNTED], "entity", "count", "sig")
         begin, count = _begins(sig["entity"])
@@ -334,19 +336,19 @@ def _survivors(keys: list[int]):
         items["sig"], items["set"] = mix(sig["sig"][kept]), np.repeat(known["set"][place], count)[kept]
         yield from _packed(MEMBER, items, _bucket(items["sig"], len(keys)), keys)
 
-    return run
+    return survivors
 
 
 def _grouped(keys: list[int]):
     """Members of the groups of two sets or more, dealt by set."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = _distinct(_unpacked(batches, (MEMBER,), [])[MEMBER], "sig", "set")
         _, size = _begins(got["sig"])
         got = got[np.repeat(size, size) > 1]
         yield from _packed(MEMBER, got, _bucket(got["set"], len(keys)), keys)
 
-    return run
+    return grouped
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,7 +368,7 @@ ELEMENTS = "bucket int, set long, size long, sketch binary, elements binary"
 def _elements(n: int, keys: list[int]):
     """Elements of the sets (column 0) from texts (column 1); a text that is not of its set goes."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
             wanted = batch.column(0).to_numpy().view(U)
@@ -378,7 +380,7 @@ def _elements(n: int, keys: list[int]):
                 arrays = [pa.array(bucket), pa.array(wanted[lo:hi][right].view(np.int64)), pa.array(np.diff(first)[right]), pa.array([parity_sketch(x) for x in parts], pa.binary()), pa.array([x.astype("<u8").tobytes() for x in parts], pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in ELEMENTS.split(", ")])
 
-    return run
+    return elements
 
 
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -391,7 +393,7 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _asked(keys: list[int]):
     """The elements of all sets, dealt by element."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -410,19 +412,19 @@ def _asked(keys: list[int]):
                     yield from flush()
         yield from flush()
 
-    return run
+    return asked
 
 
 def _met(keys: list[int]):
     """Of each set the number of elements that another set has too, bucket by bucket, dealt by set."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, count = np.unique(_common(_unpacked(batches, (ELEMENT,), [])[ELEMENT])[1], return_counts=True)
         items = np.empty(len(sets), _ITEMS[FOUND])
         items["set"], items["count"] = sets, count
         yield from _packed(FOUND, items, _bucket(sets, len(keys)), keys)
 
-    return run
+    return met
 
 
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -435,7 +437,7 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _label(keys: list[int], sketched: bool):
     """Members of the groups and, once for each task that needs it, what is known of their sets, dealt by signature."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[pa.RecordBatch] = []
         got = _unpacked(batches, (MEMBER,), rows)[MEMBER]
         if not rows or not len(got):
@@ -457,7 +459,7 @@ def _label(keys: list[int], sketched: bool):
         for lo in range(0, len(place), 1 << 16):
             yield from _packed(LABEL, labels[place[lo : lo + (1 << 16)]], target[lo : lo + (1 << 16)], keys)
 
-    return run
+    return labelled
 
 
 def _choose(keys: list[int], representatives: int, sketched: bool, matrix: int, num: int, den: int):
@@ -467,7 +469,7 @@ def _choose(keys: list[int], representatives: int, sketched: bool, matrix: int,
     component, without the representatives.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = _unpacked(batches, (MEMBER, LABEL), [])
         labels, items = _distinct(got[LABEL], "set"), got[MEMBER]
         if not len(items):
@@ -532,7 +534,7 @@ def _choose(keys: list[int], representatives: int, sketched: bool, matrix: int,
         yield from flush()
         yield from _packed(MEMBER, items[rest], _bucket(items["set"][rest], len(keys)), keys)
 
-    return run
+    return chosen
 
 
 def _forest(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -558,7 +560,7 @@ def _forest(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Links (a, b) among the pairs: exact on the sets.  Each batch leaves out links that others of it imply."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             keep_a, keep_b = [], []
@@ -574,7 +576,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 
     one = sets.select(F.col("set").alias("a"), F.col("elements").alias("x"))
     two = sets.select(F.col("set").alias("b"), F.col("elements").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(verified, "a long, b long")
 
 
 def _possible_sets(rows: DataFrame, groups: DataFrame, reps: DataFrame, parts: int, keys: list[int], num: int, den: int, n: int) -> DataFrame:
@@ -635,14 +637,18 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shared = materialise(_scan(rows, keys, num, den, shingle).repartition(parts, "bucket").mapInArrow(_shared(keys), PACKED), "jaccard-shared")
     of_doc = shared.where(F.col("kind") == DOC).select("doc", "n", "k1", "k2", "key")
     release(spark)
-    packed = shared.where(F.col("kind") != DOC).repartition(parts, "bucket").mapInArrow(_survivors(keys), PACKED)
-    groups = materialise(packed.repartition(parts, "bucket").mapInArrow(_grouped(keys), PACKED), "jaccard-groups")
+    packed = shared.where(F.col("kind") != DOC)
+    size = packed.agg(F.sum(F.octet_length("payload"))).first()[0] or 0
+    few = min(parts, max(LEAST_PARTS, size // TASK_BYTES))  # what is left is far less than the input
+    keys = bucket_keys(spark, few)
+    packed = packed.repartition(parts, "bucket").mapInArrow(_survivors(keys), PACKED)
+    groups = materialise(packed.repartition(few, "bucket").mapInArrow(_grouped(keys), PACKED), "jaccard-groups")
     first = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "key"))
     reps = of_doc.where("n > 0").groupBy("k1", "k2").agg(first.alias("first")).select("k1", "k2", F.col("first.doc").alias("rep"), "first.key")
     reps = materialise(reps, "jaccard-reps")
-    sets = _possible_sets(rows, groups, reps, parts, keys, num, den, shingle)
+    sets = _possible_sets(rows, groups, reps, few, keys, num, den, shingle)
     release(spark)
-    roots = _linked(groups, sets, parts, keys, matrix, num, den)
+    roots = _linked(groups, sets, few, keys, matrix, num, den)
     named = roots.join(reps.select(F.col("k1").alias("node"), "rep"), "node")
     least = named.groupBy("root").agg(F.min("rep").alias("component"))
     of_set = reps.join(roots.join(least, "root").select(F.col("node").alias("k1"), "component"), "k1", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
