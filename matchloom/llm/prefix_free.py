@@ -19,6 +19,10 @@ somewhere else in the corpus.
 A trigger string with very many different phrases (a common line) is not gathered
 in a task: hashes of its windows are dealt by themselves, each once a task.  So no
 task holds more than a bounded number of phrases of one trigger string.
+
+Windows in suffix order are compared by their bytes.  Whole phrases count as equal by
+128 bits of hashes (of the trigger string and of the phrase), windows of hot trigger
+strings by two hashes of 64 bits.
 """
 
 from __future__ import annotations
@@ -30,8 +34,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .storage import bucket_keys, materialise, release, shuffle_parts
-from .textarrays import BYTE_VALUES, blocks, mix, owner, prefix_hashes, span_hashes, text_buffers
+from .storage import bucket_keys, discard, materialise, release, shuffle_parts
+from .textarrays import BYTE_VALUES, BYTE_VALUES_2, blocks, mix, owner, prefix_hashes, span_hashes, text_buffers
 
 LENGTH = 200
 WIDTH = 64
@@ -43,7 +47,7 @@ CHUNK = 1 << 20  # bytes of phrases ordered at a time
 U = np.uint64
 
 _TRIGGER = np.dtype([("h", "<u8"), ("e", "<u8"), ("row", "<u8"), ("pos", "<u4"), ("twice", "u1")])
-_WINDOW = np.dtype([("w", "<u8"), ("row", "<u8"), ("pos", "<u4"), ("known", "u1")])
+_WINDOW = np.dtype([("w", "<u8"), ("v", "<u8"), ("row", "<u8"), ("pos", "<u4"), ("known", "u1")])
 ROWS = "bucket int, kind int, payload binary, row long, pos long, stop long"
 _NAMES = [x.split()[0] for x in ROWS.split(", ")]
 _TYPES = [pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
@@ -151,21 +155,32 @@ def repeated_windows(data: np.ndarray, offsets: np.ndarray, length: int) -> np.n
     order = order[order + length <= offsets[np.searchsorted(offsets, order, "right")]]
     h = span_hashes(prefix_hashes(BYTE_VALUES[data]), order, order + length)
     same = h[1:] == h[:-1]
+    alike = np.flatnonzero(same)
+    span = np.arange(length)
+    for lo in range(0, len(alike), 1 << 12):
+        at = alike[lo : lo + (1 << 12)]
+        same[at] = (data[order[at][:, None] + span] == data[order[at + 1][:, None] + span]).all(axis=1)
     out = np.zeros(len(data), bool)
     out[order[1:][same]] = True
     out[order[:-1][same]] = True
     return out
 
 
-def _rows(kind: int, row: np.ndarray, pos: np.ndarray, stop: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+def _rows(kind: int, row: np.ndarray, pos: np.ndarray, stop: np.ndarray | None = None, keys: list[int] | None = None) -> Iterator[pa.RecordBatch]:
     n = len(row)
     if n:
-        arrays = [pa.nulls(n, pa.int32()), pa.array(np.full(n, kind, np.int32)), pa.nulls(n, pa.binary()), pa.array(row.astype(U).view(np.int64)), pa.array(pos.astype(np.int64)), pa.nulls(n, pa.int64()) if stop is None else pa.array(stop.astype(np.int64))]
+        bucket = pa.nulls(n, pa.int32()) if keys is None else pa.array(np.array(keys, np.int32)[_bucket(row.astype(U), len(keys))])
+        arrays = [bucket, pa.array(np.full(n, kind, np.int32)), pa.nulls(n, pa.binary()), pa.array(row.astype(U).view(np.int64)), pa.array(pos.astype(np.int64)), pa.nulls(n, pa.int64()) if stop is None else pa.array(stop.astype(np.int64))]
         yield pa.RecordBatch.from_arrays(arrays, names=_NAMES)
 
 
+def _bucket(values: np.ndarray, n: int) -> np.ndarray:
+    """A trigger is the smallest hash of its window, so hashes are mixed once more."""
+    return ((mix(values) >> U(32)) * U(n) >> U(32)).astype(np.int64)
+
+
 def _packed(kind: int, items: np.ndarray, by: np.ndarray, keys: list[int]) -> Iterator[pa.RecordBatch]:
-    target = ((by >> U(32)) * U(len(keys)) >> U(32)).astype(np.int64)
+    target = _bucket(by, len(keys))
     order = np.argsort(target, kind="stable")
     items, edges = items[order], np.searchsorted(target[order], np.arange(len(keys) + 1))
     yield from _payloads(kind, [(keys[k], items[a:z].tobytes()) for k, (a, z) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())) if z > a])
@@ -191,7 +206,7 @@ def _scan(keys: list[int], length: int):
             begin = np.flatnonzero(new)
             count = np.diff(np.append(begin, len(items)))
             whole = np.repeat(count > 1, count)
-            yield from _rows(FULL, items["row"][whole], items["pos"][whole])
+            yield from _rows(FULL, items["row"][whole], items["pos"][whole], keys=keys)
             one = items[begin]
             one["twice"] = count > 1
             first = np.flatnonzero(np.append(True, one["h"][1:] != one["h"][:-1]))
@@ -284,7 +299,7 @@ def _fetch(keys: list[int], length: int):
                     if kind == FULL:
                         yield from _rows(RUN, row, x - shift, y - shift)
                     elif kind == ASK and len(chosen):
-                        target = ((h[chosen] >> U(32)) * U(len(keys)) >> U(32)).astype(np.int64)
+                        target = _bucket(h[chosen], len(keys))
                         raw, payloads = d.tobytes(), {}
                         for k, s, e, g, r, w in zip(target.tolist(), x.tolist(), y.tolist(), h[chosen].tolist(), row.tolist(), (x - shift).tolist()):
                             payloads.setdefault(k, []).append(np.array([g, r], "<u8").tobytes() + np.array([w, e - s], "<u4").tobytes() + raw[s:e])
@@ -293,7 +308,8 @@ def _fetch(keys: list[int], length: int):
                         size = y - length - x + 1
                         place = np.repeat(x - (np.cumsum(size) - size), size) + np.arange(size.sum())
                         items = np.zeros(len(place), _WINDOW)
-                        items["w"] = span_hashes(prefix_hashes(BYTE_VALUES[d]), place, place + length)
+                        for field, table in (("w", BYTE_VALUES), ("v", BYTE_VALUES_2)):
+                            items[field] = span_hashes(prefix_hashes(table[d]), place, place + length)
                         items["row"], items["pos"] = np.repeat(row, size), place - np.repeat(shift, size)
                         yield from _windows(items, keys, length)
 
@@ -302,8 +318,8 @@ def _fetch(keys: list[int], length: int):
 
 def _windows(items: np.ndarray, keys: list[int] | None, length: int) -> Iterator[pa.RecordBatch]:
     """Runs of windows that occur twice among these; each once to its bucket."""
-    items = items[np.argsort(items["w"])]
-    begin = np.flatnonzero(np.append(True, items["w"][1:] != items["w"][:-1])) if len(items) else np.zeros(0, np.int64)
+    items = items[np.lexsort((items["v"], items["w"]))]
+    begin = np.flatnonzero(np.append(True, (items["w"][1:] != items["w"][:-1]) | (items["v"][1:] != items["v"][:-1]))) if len(items) else np.zeros(0, np.int64)
     count = np.diff(np.append(begin, len(items)))
     twice = np.repeat(count > 1, count)
     at = items[twice & (items["known"] == 0)]
@@ -369,7 +385,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     Further columns are not read.
     """
     spark = docs.sparkSession
-    parts = shuffle_parts(spark)
+    parts = shuffle_parts(spark, docs)
     keys = bucket_keys(spark, parts)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
@@ -380,10 +396,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     asked = long_rows.join(codes.hint("shuffle_hash"), F.col("row") == F.col("__row")).select("row", "text", "codes")
     fetched = asked.mapInArrow(_fetch(keys, length), ROWS)
     fetched = materialise(fetched, "suffix-fetched")
+    discard(marks)
     release(spark)
     resolved = fetched.where(F.col("kind") != RUN).repartition(parts, "bucket").mapInArrow(_resolve(length), ROWS)
     runs = fetched.where(F.col("kind") == RUN).unionByName(resolved).select("row", "pos", "stop")
     runs = materialise(runs.groupBy("row").agg(F.collect_list("pos").alias("starts"), F.collect_list("stop").alias("stops")).withColumnRenamed("row", "__row"), "suffix-runs")
+    discard(fetched)
     release(spark)
     joined = rows.join(runs.hint("shuffle_hash"), F.col("row") == F.col("__row"), "left").select("doc_id", "text", "starts", "stops")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_bytes else "")

@@ -129,6 +129,27 @@ WITH RECURSIVE w AS (
   SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.v FROM r JOIN e ON r.other = e.u
 )
 SELECT n.doc_id, n.n_shingles, min(r.other) AS component_id FROM n JOIN r ON r.doc_id = n.doc_id GROUP BY n.doc_id, n.n_shingles
+""",
+    "op6_prefix_free": r"""
+WITH h AS (
+  SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS x, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n_bytes FROM documents
+), w AS (
+  SELECT r, i, md5_number(substr(x, 2 * i - 1, 400)) AS k FROM (SELECT r, x, unnest(generate_series(1, n_bytes - 199)) AS i FROM h WHERE n_bytes >= 200)
+), d AS (
+  SELECT w.r, w.i FROM w JOIN (SELECT k FROM w GROUP BY k HAVING count(*) > 1) z ON w.k = z.k
+), e AS (
+  SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM d
+), s AS (
+  SELECT r, i, sum(CASE WHEN before IS NULL OR i > before + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS run FROM e
+), t AS (
+  SELECT r, run, min(i) AS a, max(i) + 200 AS b FROM s GROUP BY r, run
+), g AS (
+  SELECT t.r, a, b, coalesce(lag(b) OVER (PARTITION BY t.r ORDER BY a), 1) AS c FROM t
+), p AS (
+  SELECT g.r, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(x, 2 * c - 1, 2 * (a - c)), '' ORDER BY a) || substr(any_value(x), 2 * max(b) - 1) AS kept
+  FROM g JOIN h ON h.r = g.r GROUP BY g.r
+)
+SELECT doc_id, n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256 FROM h LEFT JOIN p ON h.r = p.r
 """,
     "op7_line_dedup": r"""
 WITH l AS (
@@ -145,7 +166,7 @@ FROM d GROUP BY doc_id
 """,
     "op9_wu_manber": r"""
 WITH w AS (
-  SELECT doc_id, unnest(x) AS word, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS x FROM documents)
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS x FROM documents
 ), n AS (
   SELECT doc_id, coalesce(len(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')), 0) AS n_words FROM documents
 ), b AS (
@@ -154,9 +175,10 @@ WITH w AS (
   SELECT DISTINCT item_id, least(10, len(x)) AS size, array_to_string(list_slice(x, i, i + least(10, len(x)) - 1), ' ') AS win
   FROM (SELECT item_id, x, unnest(generate_series(1, len(x) - least(10, len(x)) + 1)) AS i FROM b WHERE len(x) > 0)
 ), d AS (
-  SELECT doc_id, i, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS win10, word FROM w
+  SELECT doc_id, size, i, array_to_string(list_slice(x, i, i + size - 1), ' ') AS win
+  FROM (SELECT doc_id, x, size, unnest(generate_series(1, len(x) - size + 1)) AS i FROM w, (SELECT DISTINCT size FROM p))
 ), g AS (
-  SELECT d.doc_id, d.i, p.size, p.item_id FROM d JOIN p ON p.size = 10 AND p.win = d.win10
+  SELECT d.doc_id, d.i, p.size, p.item_id FROM d JOIN p ON p.size = d.size AND p.win = d.win
 ), hits AS (
   SELECT DISTINCT doc_id, unnest(generate_series(i, i + size - 1)) AS i FROM g
 ), items AS (
