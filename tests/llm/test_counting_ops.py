@@ -1,7 +1,7 @@
 """Repetition rules, line dedup, packing and benchmark search against plain Python."""
 
-import hashlib
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -152,6 +152,19 @@ def brute_hits(text, items, window):
     return len(w), sorted(hit), sorted(found)
 
 
+def test_search_tables_stay_small():
+    rng = np.random.default_rng(0)
+    vocabulary = np.array([f"w{i}" for i in range(5000)])
+    texts = [" ".join(rng.choice(vocabulary, 200)) for _ in range(1500)]
+    tracemalloc.start()
+    searches = wu_manber.test_strings(texts, 10)
+    held, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    size = sum(map(len, texts))
+    assert held < 60 * size and most < 120 * size  # a block of 4 MB: about 200 MB
+    assert sum(len(s.hashes) for s in searches) == len({tuple(t.split()[i : i + 10]) for t in texts for i in range(191)})
+
+
 def test_benchmark_search(spark):
     rng = np.random.default_rng(3)
     vocabulary = [f"w{i}" for i in range(30)] + ["É", "straße", "3", "The"]
@@ -168,7 +181,3 @@ def test_benchmark_search(spark):
         for r in wu_manber.find_contamination(docs, bench, block_text=block).collect():
             n, hit, found = brute_hits(r.text, items, 10)
             assert (r.n_words, list(r.hits), list(r["items"])) == (n, hit, found)
-
-
-def test_query_digest_of_no_items():
-    assert wu_manber.digest([]) == hashlib.sha256(b"").hexdigest()
