@@ -7,6 +7,9 @@ through the library once per worker; later occurrences are array look-ups.
 ``byte`` mode (byte-level BPE): cuts before a blank or line break that follows a
 visible character, and before a punctuation mark that follows an ASCII letter.  ``word`` mode (white space is dropped): cuts at ASCII white
 space and before such a mark.
+
+Special tokens written out in a text become their one id, as in a plain call of the
+library; no cut falls inside them.
 """
 
 from __future__ import annotations
@@ -52,7 +55,6 @@ class UnitEncoder:
             raise ValueError(f"unknown mode {mode!r}")
         self.mode = mode
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.reset()
 
     def reset(self) -> None:

@@ -2,9 +2,14 @@
 
 Documents are encoded in ascending order of their ids and written as shards.  A
 shard holds a grammar: pairs of symbols that occur often are replaced by
-nonterminals, again and again, until no pair occurs often enough.  Each rule is
-stored with the length of its expansion, so any range of ids is decoded by
-expanding only the symbols that cover it.
+nonterminals, again and again, until no pair occurs often enough to pay for its rule.
+Each rule is stored with the length of its expansion, so any range of ids is decoded
+by expanding only the symbols that cover it (``fetch_documents``).
+
+A rule takes two symbols and a length of four bytes, so it pays from five
+occurrences on with symbols of two bytes and from four on with those of four.
+Symbols have two bytes where the vocabulary is below 2**16; a shard then has room
+for 2**16 less the vocabulary rules, and makes those of the most frequent pairs.
 
 Shard layout (little-endian): magic ``RPG1``; u32 first nonterminal, rules,
 symbols, documents; u64 ids; u8 symbol width, 3 bytes of zero; then the arrays
@@ -34,8 +39,8 @@ from .textarrays import blocks, mix, text_buffers
 MAGIC = b"RPG1"
 _HEAD = struct.Struct("<4sIIIIQB3x")
 SHARD_IDS = 1 << 19
-MIN_COUNT = 6
-ROUNDS = 20
+#: Occurrences from which a rule pays, by bytes of a symbol.
+PAYS = {2: 5, 4: 4}
 #: Symbols of two bytes where the vocabulary leaves room for this many rules.
 NARROW = 1 << 16
 SHARD_SCHEMA = "part int, number int, start long, n_docs int, n_ids long, payload binary"
@@ -132,35 +137,34 @@ def _merge(places: np.ndarray, rank: np.ndarray, worst: int) -> np.ndarray:
     return np.flatnonzero(found)
 
 
-def _frequent(symbols: np.ndarray, floor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the pairs at least a third as frequent as the most frequent one; the pairs, and how often they occur.
+def _frequent(symbols: np.ndarray, floor: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Places of the pairs at least a third as frequent as the most frequent one; the pairs, how often they occur, and the least count.
 
     Counts in hashed bins are never below the true ones, so the places of rare bins
-    are passed over before the exact count.
+    are passed over before the exact count.  The least count is ``most`` at most.
     """
     a, b = symbols[:-1], symbols[1:]
     bins = ((a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA77)) >> np.uint32(14)).astype(np.int64)
     tally = np.bincount(bins, minlength=1 << 18)
-    least = int(tally.max()) // 3
+    least = min(int(tally.max()) // 3, most)
     while True:
         least = max(floor, least)
         places = np.flatnonzero((tally >= least)[bins])
         pair, count = np.unique((a[places].astype(U) << U(32)) | b[places], return_counts=True)
         if least == floor or (count >= least).any():
-            return places, pair[count >= least], count[count >= least]
+            return places, pair[count >= least], count[count >= least], least
         least //= 2
 
 
-def compress(ids: np.ndarray, base: int, min_count: int = MIN_COUNT, rounds: int = ROUNDS, limit: int | None = None) -> Grammar:
-    """Re-Pair in rounds, each of which replaces all of the most frequent pairs."""
+def compress(ids: np.ndarray, base: int, min_count: int = PAYS[2], limit: int | None = None) -> Grammar:
+    """Re-Pair in rounds, each of which replaces all of the most frequent pairs, until no pair occurs ``min_count`` times."""
     symbols = ids.astype(np.uint32)
     limit = limit or max(NARROW, base + len(ids))
     rules: list[np.ndarray] = []
     known, names, nxt = np.zeros(0, U), np.zeros(0, np.uint32), base
-    for _ in range(rounds):
-        if len(symbols) < 2 or nxt >= limit:
-            break
-        places, pairs, count = _frequent(symbols, min_count)
+    most = len(ids)
+    while len(symbols) > 1 and nxt < limit:
+        places, pairs, count, least = _frequent(symbols, min_count, most)
         if not len(pairs):
             break
         rank_of = np.empty(len(pairs), np.int64)
@@ -177,11 +181,14 @@ def compress(ids: np.ndarray, base: int, min_count: int = MIN_COUNT, rounds: int
             place = np.minimum(np.searchsorted(known, used), len(known) - 1)
             old = known[place] == used
             name[old] = names[place[old]]
-        new = np.flatnonzero(~old & (times >= 3))[: limit - nxt]  # a new rule costs two symbols and its length
+        new = np.flatnonzero(~old & (times >= min_count))[: limit - nxt]
         worth = old.copy()
         worth[new] = True
-        if not worth.any():
-            break
+        if not worth.any():  # overlapping pairs that occur less often than it seemed
+            if least == min_count:
+                break
+            most = least // 2
+            continue
         name[new] = nxt + np.arange(len(new))
         nxt += len(new)
         rules.append(used[new])
@@ -198,7 +205,7 @@ def compress(ids: np.ndarray, base: int, min_count: int = MIN_COUNT, rounds: int
 
 def pack_shard(ids: np.ndarray, sizes: np.ndarray, docs: list[int | None], base: int) -> bytes:
     narrow = base < NARROW
-    grammar = compress(ids, base, limit=NARROW if narrow else None)
+    grammar = compress(ids, base, PAYS[2 if narrow else 4], NARROW if narrow else None)
     width = "<u2" if narrow else "<u4"
     head = _HEAD.pack(MAGIC, base, len(grammar.left), len(grammar.symbols), len(docs), len(ids), 2 if narrow else 4)
     arrays = [grammar.left.astype(width), grammar.right.astype(width), grammar.lengths.astype("<u4"), grammar.symbols.astype(width), sizes.astype("<u8"), np.array([0 if d is None else d for d in docs], "<i8"), np.array([d is None for d in docs], np.uint8)]
@@ -227,7 +234,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, mode: str = "byte",
     empty data set.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.repartitionByRange(shuffle_parts(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = rows.repartitionByRange(shuffle_parts(docs.sparkSession, docs), "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = unit_encoder(tokenizer, mode)
@@ -295,6 +302,27 @@ def read_documents(spark: SparkSession, path: str, with_ids: bool = False) -> Da
     return shards.select("part", "start", "payload").mapInArrow(run, schema)
 
 
+def fetch_documents(spark: SparkSession, path: str, ids: list[int]) -> DataFrame:
+    """(doc_id, ids) of the documents asked for: only the symbols that cover them are expanded.
+
+    The list is a query, so it is sent to all tasks.  An id that several documents
+    have gives a row for each, one that none has gives no row.
+    """
+    wanted = set(ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for payload in batch.column(0):
+                grammar, sizes, names = unpack_shard(payload.as_py())
+                ends = np.cumsum(sizes)
+                for k, name in enumerate(names):
+                    if name in wanted:
+                        found = grammar.decode(int(ends[k] - sizes[k]), int(ends[k])).astype(np.int32)
+                        yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([found], pa.list_(pa.int32()))], names=["doc_id", "ids"])
+
+    return spark.read.schema(SHARD_SCHEMA).parquet(path).select("payload").mapInArrow(run, "doc_id long, ids array<int>")
+
+
 def encode_and_read(docs: DataFrame, tokenizer: str, mode: str = "byte", end_id: int = 2) -> DataFrame:
     spark = docs.sparkSession
     path = scratch_path(spark, "token-shards")

@@ -100,12 +100,14 @@ def test_cuckoo_filter():
 
 @pytest.mark.parametrize("name,mode", [("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")])
 def test_unit_encoder_equals_library(name, mode):
-    texts = [t or "" for t in TEXTS] + ["don't 's  \n\n x\r\n y\t z \n", "a\x1cb !\x1c!", "<|endoftext|> hi", "é à   b  c", "a.b,c;;'s.'t ) . ,x é,é. ×, ü.ü", "a\u0085 b", "　  x"]
+    texts = [t or "" for t in TEXTS] + ["don't 's  \n\n x\r\n y\t z \n", "a\x1cb !\x1c!", "<|endoftext|> hi", "a  <|endoftext|>\n b<|endoftext|>c, x<|endoftext|>,<|startoftext|>. <|ENDOFTEXT|> <|endoftext", "<|endoftext|><|endoftext|>", "é à   b  c", "a.b,c;;'s.'t ) . ,x é,é. ×, ü.ü", "a\u0085 b", "　  x"]
+    from tokenizers import Tokenizer
+
     e = UnitEncoder(P.path(name), mode)
     for order in (texts, texts[::-1]):
         ids, count = e.encode(*text_buffers(pa.array(order)))
         got = np.split(ids, np.cumsum(count)[:-1])
-        assert [g.tolist() for g in got] == [x.ids for x in e.tokenizer.encode_batch(order, add_special_tokens=False)]
+        assert [g.tolist() for g in got] == [x.ids for x in Tokenizer.from_file(P.path(name)).encode_batch(order, add_special_tokens=False)]
 
 
 def test_packing_covers_every_id_once(spark):

@@ -33,13 +33,22 @@ def test_repeats_become_short():
     assert back.decode(12345, 12400).tolist() == ids[12345:12400].tolist()
 
 
+@pytest.mark.parametrize("least", [4, 5])
+def test_no_pair_that_pays_is_left(least):
+    ids = np.random.default_rng(least).zipf(1.3, 20000).clip(0, 300).astype(np.uint32)
+    g = rt.compress(ids, 301, least)
+    assert g.decode().tolist() == ids.tolist()
+    pairs, count = np.unique((g.symbols[:-1] << 32) | g.symbols[1:], return_counts=True)
+    apart = pairs[(count >= least) & (pairs >> 32 != pairs & 0xFFFFFFFF)]  # pairs that cannot overlap with themselves
+    assert not len(apart)
+
+
 def test_documents_round_trip(spark, tmp_path):
     from tokenizers import Tokenizer
 
     path = P.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    texts = {9: "a a a a a a " * 500, 2: None, 5: "", 7: "Größe 日本 x" * 20, 1: "the cat sat\n\n on the mat", -3: "neg", 2**40: "far"}
+    texts = {9: "a a a a a a " * 500, 2: None, 5: "", 7: "Größe 日本 x" * 20, 1: "the cat sat\n\n on the mat", -3: "neg", 2**40: "far", 11: "end<|endoftext|>, x  <|endoftext|> <|endoftext|>\n<|endoftext|"}
     rows = [(k, v, 1) for k, v in texts.items()] + [(7, texts[7], 2), (None, "no id", 3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, start int").repartition(3)
     out = str(tmp_path / "shards")
@@ -53,4 +62,6 @@ def test_documents_round_trip(spark, tmp_path):
         assert list(r.ids) == want and r.start == place and r.n_tokens == len(want)
         assert r.ids_crc32 == zlib.crc32(np.array(want, "<u4").tobytes())
         place += len(want)
+    fetched = sorted((r.doc_id, list(r.ids)) for r in rt.fetch_documents(spark, out, [7, -3, 12345]).collect())
+    assert fetched == sorted((r.doc_id, list(r.ids)) for r in got if r.doc_id in (7, -3))
     assert rt.encode_and_read(docs.where("false"), path).count() == 0
