@@ -20,12 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
+from .storage import materialise
 from .textarrays import blocks, mix, text_buffers
 
 DIMENSIONS = 1024
 N = 3
 UNKNOWN = "und"
-SLICES = 32  # of a language's n-grams when its prototype is bundled
+GRAMS = 1 << 16  # of a language, bundled in one task
 ROWS = 128  # texts bundled by one matrix product
 CACHE_GRAMS = 200_000
 U = np.uint64
@@ -73,7 +74,10 @@ def gram_vectors(grams: np.ndarray, dimensions: int) -> np.ndarray:
 
 
 def text_grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, packed n-gram, count) of a block's texts: letters in lower case, one blank around words."""
+    """(row, packed n-gram, count) of a block's texts: letters in lower case, one blank around words.
+
+    A text with a letter has a blank before and after it, so an n-gram at least.
+    """
     raw = data.tobytes().decode("utf-8", "replace")
     cps = np.frombuffer(raw.encode("utf-32-le", "surrogatepass"), np.uint32)
     starts = np.zeros(len(offsets), np.int64)
@@ -82,15 +86,18 @@ def text_grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     letters = _letters()[cps].astype(U)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(starts))
     solid = letters > 0
-    # keep letters and the first other character after one; put a blank before each text
+    # keep letters and the first other character after one; put a blank before each text and after it
     after = np.zeros(len(letters), bool)
     after[1:] = solid[:-1] & (row[1:] == row[:-1])
     keep = solid | after
     letters, row = letters[keep], row[keep]
     first = np.searchsorted(row, np.arange(len(offsets) - 1))
-    filled = first < np.append(first[1:], len(row))
-    letters = np.insert(letters, first[filled], 0)
-    row = np.insert(row, first[filled], np.flatnonzero(filled))
+    stop = np.append(first[1:], len(row))
+    filled = first < stop
+    at = np.concatenate([first[filled], stop[filled][letters[stop[filled] - 1] > 0]])
+    of = np.concatenate([np.flatnonzero(filled), np.flatnonzero(filled)[letters[stop[filled] - 1] > 0]])
+    order = np.lexsort((of, at))  # a text's end before the next one's start
+    letters, row = np.insert(letters, at[order], 0), np.insert(row, at[order], of[order])
     if len(letters) < N:
         return np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, np.int64)
     m = len(letters) - N + 1
@@ -130,8 +137,8 @@ def is_held_out(id_col: str) -> F.Column:
 def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", dimensions: int = DIMENSIONS) -> dict[str, np.ndarray]:
     """Prototype of every language of ``docs``, from the n-gram counts of all its texts.
 
-    Rows without text or language teach nothing.  What comes to the driver are
-    ``SLICES`` vectors for each language.
+    Rows without text or language teach nothing.  One task bundles about ``GRAMS``
+    distinct n-grams; one vector for each language comes to the driver.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
 
@@ -156,12 +163,14 @@ def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", dimen
             total += table["n"].to_numpy()[c : c + 4096].astype(np.float64) @ gram_vectors(grams[c : c + 4096], dimensions)
         return pa.table({"lang": [key[0].as_py()], "vector": [total.tolist()]}, schema=pa.schema([("lang", pa.string()), ("vector", pa.list_(pa.float64()))]))
 
-    counts = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    parts = counts.withColumn("slice", F.pmod(F.xxhash64("gram"), F.lit(SLICES))).groupBy("lang", "slice").applyInArrow(bundled, "lang string, vector array<double>")
-    found: dict[str, np.ndarray] = {}
-    for r in parts.collect():
-        found[r["lang"]] = found.get(r["lang"], 0) + np.array(r["vector"])
-    return found
+    def added(key, table):
+        total = np.add.reduce(np.array(table["vector"].to_pylist()))
+        return pa.table({"lang": [key[0].as_py()], "vector": [total.tolist()]}, schema=pa.schema([("lang", pa.string()), ("vector", pa.list_(pa.float64()))]))
+
+    counts = materialise(rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "gram-counts")
+    slices = counts.count() // GRAMS + 1
+    parts = counts.withColumn("slice", F.pmod(F.xxhash64("gram"), F.lit(slices))).groupBy("lang", "slice").applyInArrow(bundled, "lang string, vector array<double>")
+    return {r["lang"]: np.array(r["vector"]) for r in parts.groupBy("lang").applyInArrow(added, "lang string, vector array<double>").collect()}
 
 
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text") -> DataFrame:

@@ -20,13 +20,14 @@ def brute_grams(text):
             s += " "
     if s == " ":
         return {}
+    s += "" if s[-1] == " " else " "
     for i in range(len(s) - 2):
         out[s[i : i + 3]] = out.get(s[i : i + 3], 0) + 1
     return out
 
 
 def test_grams_equal_brute_force():
-    texts = ["Der Hund, die Katze!", None, "", "123 ...", "a", "ab", "Straße ÉTÉ İx 日本語 テ", "  x  yz  "]
+    texts = ["Der Hund, die Katze!", None, "", "123 ...", "a", "ab", "1 a", "日", "Straße ÉTÉ İx 日本語 テ", "  x  yz  "]
     row, gram, n = hl.text_grams(*text_buffers(pa.array(texts)))
     for k, t in enumerate(texts):
         got = {"".join(chr((int(g) >> 21 * j) & 0x1FFFFF) or " " for j in (2, 1, 0)).replace("\0", " "): int(c) for r, g, c in zip(row, gram, n) if r == k}
@@ -56,3 +57,18 @@ def test_held_out_accuracy_and_edges(spark):
     got = {r.doc_id: (r.lang_pred, r.score) for r in hl.learn_and_predict(odd).collect()}
     assert got == {i: ("und", 0.0) for i in (1, 2, 3, 4)}
     assert hl.learn_and_predict(odd.where("false")).count() == 0
+
+
+def test_predictions_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(hl, "GRAMS", 40)
+    docs = [(i, t, lang) for i, (t, lang) in enumerate([("the cat and the dog", "en"), ("der hund und die katze", "de"), ("le chat et le chien", "fr"), ("the mat and the hat", "en"), ("die maus und der hut", "de"), ("a", None), ("5 x", None), ("chien et chat", None), ("und die hand", None), (None, "en"), ("...", "fr")] * 3)]
+    total = {}
+    vector = lambda text: sum((c * hl.gram_vectors(np.array([sum(ord(x) * (x != " ") << 21 * (2 - j) for j, x in enumerate(g))], np.uint64), hl.DIMENSIONS)[0].astype(float) for g, c in brute_grams(text).items()), np.zeros(hl.DIMENSIONS))
+    for i, t, lang in docs:
+        if t and lang and zlib.crc32(str(i).encode()) % 4 != 2:
+            total[lang] = total.get(lang, 0) + vector(t)
+    for r in hl.learn_and_predict(spark.createDataFrame(docs, "doc_id long, text string, lang string")).collect():
+        v = vector(r.text)
+        cosine = {k: float(v @ p / np.linalg.norm(v) / np.linalg.norm(p)) for k, p in total.items()} if v.any() else {}
+        assert r.lang_pred == (max(sorted(cosine), key=cosine.get) if cosine else "und")
+        assert abs(r.score - max(0, *cosine.values(), 0) if cosine else r.score) < 1e-5
