@@ -12,6 +12,10 @@
 * Arguments are validated against the tool's schema, and each record is written
   as canonical JSON: sorted keys, no blanks, plain UTF-8.
 
+JSON with numbers beyond a double (``NaN``, ``1e999``) or with more than ``DEPTH`` levels
+is read as plain text.  Half of a surrogate pair is written as its escape (``\\ud800``),
+in identifiers and names as well, so that every text is UTF-8.
+
 Messages that are JSON objects with ``tool_calls`` or ``tool_call_id`` are read as
 such.  Any other dialogue turn is read as a call of the tool ``respond`` (user) that
 refers to the user turn two before it, or as the result of the turn before it
@@ -20,8 +24,8 @@ refers to the user turn two before it, or as the result of the turn before it
 
 from __future__ import annotations
 
-import hashlib
 import json
+import math
 import re
 from collections.abc import Iterator
 
@@ -30,9 +34,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from .storage import materialise
 
-#: References of one conversation up to which one task orders them.
-SMALL_GRAPH = 4096
+#: References of one conversation up to which one task orders them (about 100 MB).
+SMALL_GRAPH = 1 << 18
 MAX_ROUNDS = 100_000
+DEPTH = 200
 EVENTS = "conv long, kind string, id string, pos long, name string, body string, refs array<string>"
 SCHEMAS = {
     "respond": {
@@ -44,7 +49,12 @@ SCHEMAS = {
 
 def canonical(value: object) -> str:
     """JSON with sorted keys and no blanks; equal values give equal text."""
-    return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    return plain(json.dumps(value, ensure_ascii=False, allow_nan=False, sort_keys=True, separators=(",", ":")))
+
+
+def plain(text: str) -> str:
+    """The text with halves of surrogate pairs as escapes."""
+    return text if text.isascii() else text.encode("utf-8", "backslashreplace").decode()
 
 
 _TYPES = {
@@ -88,20 +98,36 @@ def errors_of(value: object, schema: dict, at: str = "$") -> list[str]:
 def references(value: object) -> list[str]:
     """Identifiers in ``{"$ref": id}`` anywhere in the arguments."""
     if isinstance(value, dict):
-        own = [str(value["$ref"])] if isinstance(value.get("$ref"), (str, int)) else []
+        own = [plain(str(value["$ref"]))] if isinstance(value.get("$ref"), (str, int)) else []
         return own + [r for k in sorted(value) for r in references(value[k])]
     return [r for x in value for r in references(x)] if isinstance(value, list) else []
 
 
+def _number(text: str) -> float:
+    value = float(text)
+    if not math.isfinite(value):
+        raise ValueError(text)
+    return value
+
+
 def _parsed(text: str) -> object:
+    """The value of a JSON text; null for any other text."""
     try:
-        return json.loads(text)
+        value = json.loads(text, parse_float=_number, parse_constant=_number)
     except (ValueError, RecursionError):
         return None
+    layer = [value]
+    for _ in range(DEPTH):
+        layer = [x for v in layer if isinstance(v, (dict, list)) for x in (v.values() if isinstance(v, dict) else v)]
+        if not layer:
+            return value
+    return None
 
 
 def message_events(turn: int | None, role: str | None, text: str | None) -> list[tuple]:
     """(kind, id, place within the message, tool, body, references)."""
+    if turn is None or role is None:
+        return []
     message = _parsed(text) if text and text.lstrip()[:1] == "{" else None
     if isinstance(message, dict) and isinstance(message.get("tool_calls"), list):
         out = []
@@ -114,14 +140,14 @@ def message_events(turn: int | None, role: str | None, text: str | None) -> list
                 parsed = _parsed(arguments)
                 arguments = arguments if parsed is None else parsed
             if call.get("id") is not None:
-                out.append(("call", str(call["id"]), k, str(inner.get("name")), canonical(arguments), references(arguments)))
+                out.append(("call", plain(str(call["id"])), k, plain(str(inner.get("name"))), canonical(arguments), references(arguments)))
         return out
     if isinstance(message, dict) and message.get("tool_call_id") is not None:
-        return [("result", str(message["tool_call_id"]), 0, None, canonical(message.get("content")), [])]
-    if role == "user" and turn is not None:
+        return [("result", plain(str(message["tool_call_id"])), 0, None, canonical(message.get("content")), [])]
+    if role == "user":
         arguments = {"prompt": text, "turn": turn} | ({"after": {"$ref": str(turn - 2)}} if turn >= 2 else {})
         return [("call", str(turn), 0, "respond", canonical(arguments), references(arguments))]
-    if role == "assistant" and turn is not None:
+    if role == "assistant":
         return [("result", str(turn - 1), 0, None, canonical(text), [])]
     return []
 
@@ -129,7 +155,7 @@ def message_events(turn: int | None, role: str | None, text: str | None) -> list
 def events_of(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(conv, *event) for conv, turn, role, text in zip(*(c.to_pylist() for c in batch.columns)) for event in ((k, i, (turn or 0) * 65536 + p, n, b, r) for k, i, p, n, b, r in message_events(turn, role, text))]
+            rows = [(conv, *event) for conv, turn, role, text in zip(*(c.to_pylist() for c in batch.columns)) for event in ((k, i, turn * 65536 + p, n, b, r) for k, i, p, n, b, r in message_events(turn, role, text))]
             columns = list(zip(*rows)) or [()] * 7
             kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["conv", "kind", "id", "pos", "name", "body", "refs"])
@@ -172,10 +198,10 @@ def levels(edges: DataFrame, small: int = SMALL_GRAPH) -> DataFrame:
 
     near = sized.where(F.col("edges") <= small).groupBy("conv").applyInArrow(order, "conv long, id string, level long")
     far = sized.where(F.col("edges") > small)
-    return near if far.isEmpty() else near.unionByName(_far_levels(far))
+    return near if far.isEmpty() else near.unionByName(_far_levels(far, small))
 
 
-def _far_levels(edges: DataFrame) -> DataFrame:
+def _far_levels(edges: DataFrame, small: int) -> DataFrame:
     """The same for graphs too large for one task.
 
     Where every call refers to one other, ancestors are doubled: log2(depth) joins.
@@ -204,6 +230,8 @@ def _far_levels(edges: DataFrame) -> DataFrame:
         for depth in range(1, MAX_ROUNDS):
             if last.isEmpty():
                 break
+            if depth == MAX_ROUNDS - 1:
+                raise RuntimeError(f"a conversation has more than {small} references and a path of more than {MAX_ROUNDS}")
             left = materialise(left.join(last.select("conv", "no_conv", F.col("id").alias("ref")), ["conv", "no_conv", "ref"], "left_anti").select(*key, "ref"), "call-wide")
             rest = left.select(*key).distinct()
             last = materialise(mine.join(done, key, "left_anti").join(rest, key, "left_anti").select(*key, F.lit(depth).cast("long").alias("level")), "call-last")
@@ -230,7 +258,7 @@ def link_tool_calls(messages: DataFrame, schemas: dict[str, dict] | None = None,
     events = materialise(events_of(messages, **columns), "call-events")
     one = lambda kind, prefix: events.where(F.col("kind") == kind).groupBy("conv", "id").agg(F.min(F.struct("pos", "name", "body", "refs")).alias(prefix), F.count("*").alias(f"{prefix}_n"))
     calls, results = one("call", "call"), one("result", "result").withColumnsRenamed({"conv": "conv_r", "id": "id_r"})
-    both = calls.join(results, F.col("conv").eqNullSafe(F.col("conv_r")) & (F.col("id") == F.col("id_r")), "full")
+    both = calls.join(results.hint("shuffle_hash"), F.col("conv").eqNullSafe(F.col("conv_r")) & (F.col("id") == F.col("id_r")), "full")
     both = both.select(F.when(F.col("call").isNull(), F.col("conv_r")).otherwise(F.col("conv")).alias("conv"), F.coalesce("id", "id_r").alias("id"), "call", "call_n", "result")
     known = events.where("kind = 'call'").select(F.col("conv").alias("kc"), F.col("id").alias("ki")).distinct()
     asked = calls.select("conv", "id", F.explode(F.array_distinct("call.refs")).alias("ref"))
@@ -265,6 +293,3 @@ def link_tool_calls(messages: DataFrame, schemas: dict[str, dict] | None = None,
 
     return rows.mapInArrow(run, schema)
 
-
-def record_hash(record: str) -> str:
-    return hashlib.sha256(record.encode()).hexdigest()
