@@ -7,9 +7,14 @@
 * ``filters``: one cuckoo filter for each shard of the keys that two documents or
   more hold.  Most lines occur once, so most look-ups end at the filter.
 
-``insert`` and ``delete`` return a new index; deleting what was inserted gives
-the old answers again, because the counts are exact and a cuckoo filter, unlike a
-Bloom filter, can forget a key.
+``insert`` and ``delete`` return a new index and work on the keys that the documents
+touch: their counts are taken anew, keys that have become shared enter the filters,
+keys that no longer are leave them.  Deleting what was inserted gives the old answers
+again, because the counts are exact and a cuckoo filter, unlike a Bloom filter, can
+forget a key.  A shard whose filter is full gets a further one, twice as large.
+
+Filters are broadcast while they are small.  Beyond that they are dealt with the
+postings, by shard, and a task streams a shard's postings past its filters.
 
 Documents with a null id hold no keys and keep all their lines.  Rows that share
 an id count as one document.
@@ -17,7 +22,6 @@ an id count as one document.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,12 +29,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .storage import materialise
+from .storage import materialise, shuffle_parts
 from .textarrays import BYTE_VALUES, BYTE_VALUES_2, CHAR_START, IS_SPACE, LOWER, blocks, counts_before, lines, mix, owner, prefix_hashes, span_hashes, sums, text_buffers
 
-SHARDS = 64
-#: Keys whose filters together may be broadcast (about 2.2 bytes a key); beyond it every look-up goes to the exact table.
+SHARDS = 64  # at least; a shard has about SHARD_KEYS shared keys when an index is built
+SHARD_KEYS = 1_000_000
+#: Keys whose filters together may be broadcast (about 2.5 bytes a key); beyond it filters and postings meet by shard.
 FILTER_KEYS = 8_000_000
+SALTS = 16  # tasks that share a shard's postings then, so that a line of very many documents is no task's own
 U = np.uint64
 
 
@@ -88,19 +94,22 @@ class CuckooFilter:
         mark, bucket = self._places(keys)
         return (self.table[bucket] == mark[:, None]).any(1) | (self.table[self._other(bucket, mark)] == mark[:, None]).any(1)
 
-    def remove(self, keys: np.ndarray) -> None:
-        """Forgets one copy of each key, all of which must have been added."""
-        for key in keys:  # few: keys whose count falls below two
+    def remove(self, keys: np.ndarray) -> np.ndarray:
+        """Forgets one copy of each key that is there; which ones were."""
+        found = np.zeros(len(keys), bool)
+        for i, key in enumerate(keys):  # few: keys whose count falls below two
             mark, bucket = self._places(np.array([key], U))
             for b in (bucket[0], self._other(bucket, mark)[0]):
                 at = np.flatnonzero(self.table[b] == mark[0])
                 if len(at):
                     self.table[b, at[0]] = 0
+                    found[i] = True
                     break
+        return found
 
 
-def build_filter(keys: np.ndarray) -> CuckooFilter:
-    capacity = len(keys)
+def build_filter(keys: np.ndarray, capacity: int = 0) -> CuckooFilter:
+    capacity = max(capacity, len(keys))
     while True:
         f = CuckooFilter(capacity)
         try:
@@ -110,6 +119,40 @@ def build_filter(keys: np.ndarray) -> CuckooFilter:
             capacity *= 2
 
 
+class ShardFilter:
+    """The filters of a shard; a key is in one of them."""
+
+    def __init__(self, blobs: list[bytes]):
+        self.filters = [CuckooFilter(0, np.frombuffer(b, np.uint16).reshape(-1, CuckooFilter.SLOTS).copy()) for b in blobs]
+
+    def blobs(self) -> list[bytes]:
+        return [f.table.tobytes() for f in self.filters]
+
+    def contains(self, keys: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(keys), bool)
+        for f in self.filters:
+            out |= f.contains(keys)
+        return out
+
+    def insert(self, keys: np.ndarray) -> None:
+        if not len(keys):
+            return
+        last = self.filters[-1].table if self.filters else np.zeros((0, CuckooFilter.SLOTS), np.uint16)
+        if np.count_nonzero(last) + len(keys) <= 0.8 * last.size:
+            grown = CuckooFilter(0, last.copy())
+            try:
+                grown.insert(keys)
+                self.filters[-1] = grown
+                return
+            except OverflowError:
+                pass
+        self.filters.append(build_filter(keys, int(1.6 * last.size)))
+
+    def remove(self, keys: np.ndarray) -> None:
+        for f in reversed(self.filters):
+            keys = keys[~f.remove(keys)]
+
+
 def line_keys(data: np.ndarray, offsets: np.ndarray, min_chars: int):
     """Of all lines of a block: starts, ends, first line of each text, both hash halves, and whether the key is long enough."""
     starts, ends, first = lines(data, offsets)
@@ -145,95 +188,132 @@ def postings_of(docs: DataFrame, min_chars: int, id_col: str, text_col: str) ->
     return rows.mapInArrow(run, "k1 long, k2 long, doc long")
 
 
-def shard_filters(refs: DataFrame) -> DataFrame:
-    """(shard, blob): a cuckoo filter for each shard of the keys that at least two documents hold."""
+def _shard(shards: int) -> F.Column:
+    return F.pmod(F.col("k1"), F.lit(shards)).cast("int").alias("shard")
+
+
+FILTERS = "shard int, blobs array<binary>"
 
-    def run(key, table):
-        f = build_filter(table["k1"].to_numpy().view(U))
-        return pa.table({"shard": [key[0].as_py()], "blob": [f.table.tobytes()]}, schema=pa.schema([("shard", pa.int32()), ("blob", pa.binary())]))
 
-    shared = refs.where("n > 1").select(F.pmod(F.col("k1"), F.lit(SHARDS)).cast("int").alias("shard"), "k1")
-    return shared.groupBy("shard").applyInArrow(run, "shard int, blob binary")
+def updated_filters(filters: DataFrame, added: DataFrame, removed: DataFrame | None, shards: int) -> DataFrame:
+    """(shard, blobs) after keys (k1) have come and gone."""
+    change = added.select(_shard(shards), "k1", F.lit(True).alias("come"))
+    if removed is not None:
+        change = change.unionByName(removed.select(_shard(shards), "k1", F.lit(False).alias("come")))
+
+    def change_shard(key, left, right):
+        f = ShardFilter(left["blobs"][0].as_py() if left.num_rows else [])
+        k1, come = right["k1"].to_numpy().view(U), np.array(right["come"].to_pylist(), bool)
+        f.remove(k1[~come])
+        f.insert(k1[come])
+        return pa.table({"shard": [key[0].as_py()], "blobs": [f.blobs()]}, schema=pa.schema([("shard", pa.int32()), ("blobs", pa.list_(pa.binary()))]))
+
+    return filters.groupBy("shard").cogroup(change.groupBy("shard")).applyInArrow(change_shard, FILTERS)
 
 
 def _counted(postings: DataFrame) -> DataFrame:
-    return postings.groupBy("k1", "k2").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc"), F.count("*").alias("n"))
+    """(k1, k2, first_doc, n) of the keys that two documents or more hold."""
+    counted = postings.groupBy("k1", "k2").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc"), F.count("*").alias("n"))
+    return counted.where("first_doc < last_doc").select("k1", "k2", "first_doc", "n")
+
+
+def _once(postings: DataFrame, docs: DataFrame, id_col: str) -> DataFrame:
+    """Postings of rows that share an id, each once."""
+    repeated = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long")).count().where("count > 1")
+    return postings if repeated.isEmpty() else postings.distinct()
 
 
 @dataclass
 class LineIndex:
     postings: DataFrame
     refs: DataFrame
-    filters: DataFrame | None
+    filters: DataFrame
     min_chars: int
+    shards: int
 
     @classmethod
     def build(cls, docs: DataFrame, min_chars: int = 10, id_col: str = "doc_id", text_col: str = "text") -> "LineIndex":
-        return cls._of(materialise(postings_of(docs, min_chars, id_col, text_col), "line-postings"), min_chars)
-
-    @classmethod
-    def _of(cls, postings: DataFrame, min_chars: int) -> "LineIndex":
+        postings = materialise(_once(postings_of(docs, min_chars, id_col, text_col), docs, id_col), "line-postings")
         # only keys that occur again are kept in the table: a key without an entry has a count of one
-        counted = _counted(postings).where("first_doc < last_doc").select("k1", "k2", "first_doc", "n")
-        refs = materialise(counted, "line-refs")
-        held = refs.where("n > 1").count()
-        filters = materialise(shard_filters(refs), "line-filters") if held <= FILTER_KEYS else None
-        return cls(postings, refs, filters, min_chars)
+        refs = materialise(_counted(postings), "line-refs")
+        shards = max(SHARDS, refs.count() // SHARD_KEYS)
+        none = docs.sparkSession.createDataFrame([], FILTERS)
+        filters = materialise(updated_filters(none, refs, None, shards), "line-filters")
+        return cls(postings, refs, filters, min_chars, shards)
+
+    def _changed(self, postings: DataFrame, touched: DataFrame) -> "LineIndex":
+        """The index with these postings, of which only the touched keys' counts may differ."""
+        changed = _counted(postings.join(touched, ["k1", "k2"], "left_semi"))
+        refs = materialise(self.refs.join(touched, ["k1", "k2"], "left_anti").unionByName(changed), "line-refs")
+        come, gone = (a.join(b, ["k1", "k2"], "left_anti") for a, b in ((refs, self.refs), (self.refs, refs)))
+        filters = materialise(updated_filters(self.filters, come, gone, self.shards), "line-filters")
+        return LineIndex(postings, refs, filters, self.min_chars, self.shards)
 
     def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> "LineIndex":
         """The index with further documents.  New postings of an id replace none: delete it first to change a text."""
-        new = postings_of(docs, self.min_chars, id_col, text_col).join(self.postings, ["k1", "k2", "doc"], "left_anti")
-        return self._of(materialise(self.postings.unionByName(new), "line-postings"), self.min_chars)
+        new = _once(postings_of(docs, self.min_chars, id_col, text_col), docs, id_col).join(self.postings, ["k1", "k2", "doc"], "left_anti")
+        new = materialise(new.select("k1", "k2", "doc"), "line-postings")
+        return self._changed(self.postings.unionByName(new), new.select("k1", "k2").distinct())
 
     def delete(self, ids: DataFrame, id_col: str = "doc_id") -> "LineIndex":
         """The index without these documents: counts fall, and a key's next smallest document becomes its first."""
         gone = ids.select(F.col(id_col).cast("long").alias("doc")).distinct()
         postings = materialise(self.postings.join(gone, "doc", "left_anti").select("k1", "k2", "doc"), "line-postings")
-        touched = self.postings.join(gone, "doc", "left_semi").select("k1", "k2").distinct()
-        changed = _counted(postings.join(touched, ["k1", "k2"], "left_semi")).where("first_doc < last_doc").select("k1", "k2", "first_doc", "n")
-        refs = materialise(self.refs.join(touched, ["k1", "k2"], "left_anti").select("k1", "k2", "first_doc", "n").unionByName(changed), "line-refs")
-        if self.filters is None:
-            return LineIndex(postings, refs, None, self.min_chars)
-        lost = self.refs.join(refs, ["k1", "k2"], "left_anti").select(F.pmod(F.col("k1"), F.lit(SHARDS)).cast("int").alias("shard"), "k1")
-
-        def forget(key, left, right):
-            if not left.num_rows:
-                return left
-            f = CuckooFilter(0, np.frombuffer(left["blob"][0].as_py(), np.uint16).reshape(-1, CuckooFilter.SLOTS).copy())
-            f.remove(right["k1"].to_numpy().view(U))
-            return pa.table({"shard": left["shard"], "blob": [f.table.tobytes()]}, schema=left.schema)
-
-        filters = self.filters.groupBy("shard").cogroup(lost.groupBy("shard")).applyInArrow(forget, "shard int, blob binary")
-        return LineIndex(postings, refs, materialise(filters, "line-filters"), self.min_chars)
+        return self._changed(postings, self.postings.join(gone, "doc", "left_semi").select("k1", "k2").distinct())
 
     def dropped(self) -> DataFrame:
         """(doc, k1, k2): keys that a document loses, because a smaller one holds them."""
-        rows = self.postings
-        if self.filters is not None:
-            rows = rows.mapInArrow(_probe({r["shard"]: bytes(r["blob"]) for r in self.filters.collect()}), "k1 long, k2 long, doc long")
+        few = self.refs.count() <= FILTER_KEYS
+        rows = _probe(self.postings, self.filters, self.shards) if few else _probe_by_shard(self.postings, self.filters, self.shards)
         return rows.join(self.refs, ["k1", "k2"]).where("doc > first_doc").select("doc", "k1", "k2")
 
 
-def _probe(blobs: dict[int, bytes]):
-    """Keeps the rows whose key may be shared; the filters' size is bounded by FILTER_KEYS."""
-    from pyspark.sql import SparkSession
+POSTINGS = "k1 long, k2 long, doc long"
+
 
-    shared = SparkSession.active().sparkContext.broadcast(blobs)
+def _probe(postings: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
+    """The rows whose key may be shared, by filters that every task has; their size is bounded by FILTER_KEYS."""
+    shared = postings.sparkSession.sparkContext.broadcast({r["shard"]: [bytes(b) for b in r["blobs"]] for r in filters.collect()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters = {s: CuckooFilter(0, np.frombuffer(b, np.uint16).reshape(-1, CuckooFilter.SLOTS)) for s, b in shared.value.items()}
+        known = {s: ShardFilter(b) for s, b in shared.value.items()}
         for batch in batches:
             k1 = batch.column(0).to_numpy()
             keep = np.zeros(len(k1), bool)
-            shard = k1 % SHARDS
+            shard = k1 % shards
             order = np.argsort(shard, kind="stable")
-            edges = np.searchsorted(shard[order], np.arange(SHARDS + 1))
-            for s, f in filters.items():
+            edges = np.searchsorted(shard[order], np.arange(shards + 1))
+            for s, f in known.items():
                 at = order[edges[s] : edges[s + 1]]
                 keep[at] = f.contains(k1[at].view(U))
             yield batch.filter(pa.array(keep))
 
-    return run
+    return postings.mapInArrow(run, POSTINGS)
+
+
+def _probe_by_shard(postings: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
+    """The same with filters and postings dealt by shard: a task holds one shard's filters at a time."""
+    salted = postings.select(_shard(shards), F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int").alias("salt"), F.lit(None).cast("array<binary>").alias("blobs"), "k1", "k2", "doc")
+    copies = filters.select("shard", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt"), "blobs", *[F.lit(None).cast("long").alias(c) for c in ("k1", "k2", "doc")])
+    dealt = copies.unionByName(salted).repartition(shuffle_parts(postings.sparkSession, postings), "shard", "salt")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, f = None, ShardFilter([])
+        for batch in batches:
+            shard, blobs = batch.column(0).to_numpy(), batch.column(1)
+            heads = np.flatnonzero(~np.asarray(blobs.is_null()))
+            edges = np.unique(np.concatenate([[0, len(batch)], heads, np.flatnonzero(np.diff(shard)) + 1]))
+            for a, z in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                if shard[a] != current:  # a shard's filters come first
+                    current, f = shard[a], ShardFilter([])
+                if blobs[a].is_valid:
+                    f, a = ShardFilter(blobs[a].as_py()), a + 1
+                if z > a:
+                    part = batch.slice(a, z - a).select([2, 3, 4])
+                    yield part.filter(pa.array(f.contains(part.column(0).to_numpy().view(U))))
+
+    ordered = dealt.sortWithinPartitions("shard", F.col("blobs").isNull())
+    return ordered.select("shard", "blobs", "k1", "k2", "doc").mapInArrow(run, POSTINGS)
 
 
 def drop_repeated_lines(docs: DataFrame, min_chars: int = 10, id_col: str = "doc_id", text_col: str = "text", index: LineIndex | None = None) -> DataFrame:
@@ -289,6 +369,3 @@ def _contains(ordered: np.ndarray, values: np.ndarray) -> np.ndarray:
         return np.zeros(len(values), bool)
     return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
 
-
-def sha256_hex(texts: list[bytes]) -> list[str]:
-    return [hashlib.sha256(t).hexdigest() for t in texts]

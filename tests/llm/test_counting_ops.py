@@ -88,6 +88,38 @@ def test_line_dedup_and_reversal(spark):
     assert empty.count() == 0
 
 
+def test_changes_of_the_index_equal_a_new_one(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    some = [f"a line that is number {i}" for i in range(60)]
+    rows = [(i, "\n".join(rng.choice(some, rng.integers(0, 12))), "x") for i in range(80)] + [(3, some[0] + "\n" + some[1], "y"), (None, some[2], "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept string").repartition(3)
+    index = line_cuckoo.LineIndex.build(docs.where("doc_id % 3 <> 0"))
+    index = index.insert(docs.where("doc_id % 3 = 0 or doc_id is null")).delete(docs.where("doc_id % 5 = 1")).insert(docs.where("doc_id = 6"))
+    fresh = line_cuckoo.LineIndex.build(docs.where("doc_id % 5 <> 1 or doc_id = 6"))
+    assert {tuple(r) for r in index.refs.collect()} == {tuple(r) for r in fresh.refs.collect()}
+    counts = {}
+    for doc, text in {(d, line) for d, t, _ in rows if d is not None and (d % 5 != 1 or d == 6) for line in t.split("\n")}:
+        counts[text] = counts.get(text, 0) + 1
+    assert sorted(r.n for r in fresh.refs.collect()) == sorted(n for k, n in counts.items() if n > 1 and len(k) >= 10)
+    held = {r.shard: line_cuckoo.ShardFilter(r.blobs) for r in index.filters.collect()}
+    assert all(held[r.k1 % index.shards].contains(np.array([r.k1]).view(np.uint64))[0] for r in index.refs.collect())
+    want = {tuple(r) for r in fresh.dropped().collect()}
+    assert {tuple(r) for r in index.dropped().collect()} == want
+    monkeypatch.setattr(line_cuckoo, "FILTER_KEYS", 0)
+    assert {tuple(r) for r in index.dropped().collect()} == want
+
+
+def test_full_filters_get_a_further_one():
+    rng = np.random.default_rng(2)
+    f, keys = line_cuckoo.ShardFilter([]), rng.integers(0, 1 << 63, 9000, dtype=np.uint64)
+    for k in range(0, 9000, 300):
+        f.insert(keys[k : k + 300])
+    f = line_cuckoo.ShardFilter(f.blobs())
+    assert f.contains(keys).all() and 1 < len(f.filters) < 12
+    f.remove(keys[:200])
+    assert f.contains(keys[200:]).all() and f.contains(keys[:200]).mean() < 0.1
+
+
 def test_cuckoo_filter():
     rng = np.random.default_rng(1)
     keys = rng.integers(0, 1 << 63, 20000, dtype=np.uint64)
@@ -111,7 +143,8 @@ def test_unit_encoder_equals_library(name, mode):
 
 
 def test_packing_covers_every_id_once(spark):
-    docs = frame(spark).repartition(3)
+    nameless = spark.createDataFrame([(None, "no id " * 90, "en", "s"), (None, None, "en", "s")], "doc_id long, text string, kept string, doc string")
+    docs = frame(spark).unionByName(nameless).repartition(3)
     path = P.path("word_bpe_49k.json")
     window = 256
     rows = concat_cut.pack(docs, path, window=window, with_ids=True).collect()
@@ -137,6 +170,8 @@ def test_packing_covers_every_id_once(spark):
             continue
         ids = np.array([*e.tokenizer.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes()
         assert b"".join(x for _, x in sorted(by_doc[(i, len(ids) // 4)])) == ids
+    none = np.array([*e.tokenizer.encode("no id " * 90, add_special_tokens=False).ids, 2], "<u4").tobytes()
+    assert b"".join(x for _, x in sorted(by_doc[(None, len(none) // 4)])) == none and by_doc[(None, 1)] == [(0, np.array([2], "<u4").tobytes())]
     assert concat_cut.pack(docs.where("false"), path).count() == 0
 
 
