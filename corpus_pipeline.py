@@ -11,12 +11,13 @@ the columns of ``documents``.
 5. packing: one row for each piece of a training sequence.
 
 Null texts are rejected by the first stage.  Rows with a null id pass stage 2
-unchanged and stay in stage 3.  Rows repeated as a whole leave one in stage 3.
+unchanged and stay in stage 3.  Of rows with the same id and text, stage 3
+leaves the first by its other columns.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from matchloom.llm import concat_cut, line_cuckoo, partenum, repetition, wu_manber
 from matchloom.llm.storage import materialise
@@ -41,11 +42,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = partenum.similar_components(docs)
     first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__ml_first")).distinct()
-    once = docs.withColumn("__ml_text", F.xxhash64("text")).dropDuplicates(["doc_id", "__ml_text"]) if _repeated_ids(docs) else docs
-    named = once.join(first.hint("shuffle_hash"), F.col("doc_id") == F.col("__ml_first"), "left_semi")
+    named = (_once(docs) if _repeated_ids(docs) else docs).join(first.hint("shuffle_hash"), F.col("doc_id") == F.col("__ml_first"), "left_semi")
     return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
+def _once(docs: DataFrame) -> DataFrame:
+    """Of the rows that share id and text, the first by its other columns."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    order = Window.partitionBy("doc_id", F.xxhash64("text"), F.length("text")).orderBy(*(others or ["doc_id"]))
+    return docs.withColumn("__ml_nth", F.row_number().over(order)).where("__ml_nth = 1").drop("__ml_nth")
+
+
 def _repeated_ids(docs: DataFrame) -> bool:
     ids = docs.where("doc_id is not null").groupBy("doc_id").count()
     return not ids.where("count > 1").isEmpty()
