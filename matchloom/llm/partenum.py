@@ -48,7 +48,7 @@ SHINGLE = 5
 GROWTH = 8  # representatives of a round, times those of the round before
 PARTS = 3  # parts of a partition; the subsets of two of them are its signatures
 LEAST_PARTS = 8
-TASK_BYTES = 1 << 20  # packed signatures of one task after the first rounds
+TASK_BYTES = 4 << 20  # packed signatures of one task after the first rounds
 MATRIX = 2048  # members up to which all possible partners within a group are looked up
 SKETCH_BITS = 2048
 FLUSH = 1 << 18
