@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .decide import RULES, expectation_grid, owners
+from .decide import RULES, decide, expectation_grid, owners
 
 
 def candidate_recall(candidates: DataFrame, truth: DataFrame, queries: DataFrame | None = None, targets: DataFrame | None = None) -> DataFrame:
@@ -112,5 +112,23 @@ def profile(df: DataFrame) -> DataFrame:
     return sums.select("rows", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"e_{c}").alias("empties"), F.col(f"d_{c}").alias("distinct_values")) for c in df.columns])).alias("x")).select("x.column", "rows", "x.empties", "x.distinct_values")
 
 
-def best_owner(scored: DataFrame) -> DataFrame:
-    return owners(scored)
+def country_table(scored: DataFrame, queries: DataFrame, n_true: DataFrame, truth: DataFrame, rule: dict) -> DataFrame:
+    """(country, queries, singles, f05) of a rule: how many S1, the share of them without a match, and their score."""
+    each = per_query(queries, n_true, decide(scored, rule), truth).join(queries, "s1").join(n_true, "s1", "left")
+    single = F.coalesce("n_true", F.lit(0)) == 0
+    return each.groupBy("country").agg(F.count("*").alias("queries"), F.avg(single.cast("double")).alias("singles"), F.avg("f05").alias("f05"))
+
+
+def smaller_sets(scored: DataFrame, queries: DataFrame, n_true: DataFrame, truth: DataFrame, rule: dict, b: tuple[int, ...] = (0, 3, 5)) -> DataFrame:
+    """(k_b, with_c, per_s1, f05) of a rule on smaller candidate sets: each cut of the second rank, with and without the address channel.
+
+    ``scored`` has (s1, tgt, p, rank_a, rank_b, rank_c).
+    """
+    total, out = queries.agg(F.count("*").alias("total")), None
+    for k_b in b:
+        for with_c in (False, True):
+            kept = scored.where((F.col("rank_a") < 1) | (F.col("rank_b") < k_b) | (F.lit(with_c) & (F.col("rank_c") < 1)))
+            n = kept.join(queries.select("s1"), "s1", "left_semi").agg(F.count("*").alias("n")).join(total)
+            row = macro_f05(queries, n_true, decide(kept, rule), truth).join(n).select(F.lit(k_b).alias("k_b"), F.lit(with_c).alias("with_c"), share(F.col("n"), F.col("total")).alias("per_s1"), "f05")
+            out = row if out is None else out.unionByName(row)
+    return out

@@ -15,6 +15,7 @@ import sys
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructType
 
 from ..functions import normalize as nz
 from ..operators import blocking as bl, decide as dc, evaluate as ev, features as ft, labels as lb, learn
@@ -89,7 +90,8 @@ class Run:
         lists |= {f"matches_{v}": (variants.where(F.col("variant") == v), "matched_entity_ids") for v in ("strict", "empty")}
         for name, (pairs, column) in lists.items():
             sk.id_lists(s1, pairs, column).write.mode("overwrite").options(sep="\t", header=True, emptyValue="").csv(f"{self.out}/{name}")
-        return sk.validate(s1, self.side("test", False), found, scored)
+        written = [rd.records_tsv(self.spark, f"{self.out}/{name}", schema=StructType().add("s1", StringType()).add("ids", StringType())) for name in ("matches", "candidates")]
+        return sk.validate_lists(s1, self.side("test", False), *written)
 
 
 def main(arguments: list[str]) -> None:

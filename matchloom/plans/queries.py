@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import normalize as nz, similarity as sim
 from ..functions.tables import ADDRESS_WORDS, LEGAL_WORDS, NAME_WORDS, STATES
@@ -62,6 +62,7 @@ def d_numbers(x: str) -> str:
 PREP = f"""{with_sql()},
 p1 AS (SELECT entity_id, country, business_name, business_address, {d_name('business_name')} AS name_n, {d_address('business_address', 'country')} AS addr_n FROM biz_s1),
 pt AS (SELECT entity_id, country, source, business_name, business_address, {d_name('business_name')} AS name_n, {d_address('business_address', 'country')} AS addr_n FROM targets),
+pall AS (SELECT entity_id, business_name, business_address, country, name_n, addr_n FROM p1 UNION ALL SELECT entity_id, business_name, business_address, country, name_n, addr_n FROM pt),
 truth AS (SELECT DISTINCT source1_entity_id AS s1, unnest(list_filter(string_split(matched_entity_ids, ','), lambda x: x <> '')) AS tgt FROM biz_truth),
 cores AS (SELECT entity_id, country, {d_squash(d_core('name_n'))} AS q FROM p1),
 coret AS (SELECT entity_id, country, {d_squash(d_core('name_n'))} AS q FROM pt),
@@ -92,6 +93,12 @@ def _prep(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return rd.prepare(_s1(spark, d)), rd.prepare(targets(spark, d), "source")
 
 
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    """All records, normalised, with their raw fields."""
+    raw = ("business_name", "business_address")
+    return rd.prepare(_s1(spark, d), *raw).unionByName(rd.prepare(targets(spark, d), *raw))
+
+
 def _truth(spark: SparkSession, d: str) -> DataFrame:
     return rd.truth_pairs(table(spark, d, "biz_truth"))
 
@@ -103,10 +110,10 @@ def _candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates with a fixed formula for p, so that rules can be checked without a model; kept, as rules read them often."""
+    """Candidates with a fixed formula for p, so that rules can be checked without a model."""
     a, b = F.right("s1", F.lit(6)), F.right("tgt", F.lit(6))
     p = (1 + (a.cast("long") * 37 + b.cast("long") * 101 + F.when(a == b, 977).otherwise(0)) % 997) / 1000
-    return _candidates(spark, d).withColumn("p", p).cache()
+    return _candidates(spark, d).withColumn("p", p)
 
 
 def _queries(spark: SparkSession, d: str) -> DataFrame:
@@ -149,9 +156,9 @@ knn AS (
 # ---------------------------------------------------------------- normalisation
 
 
-@query("norm_basic", f"{with_sql()} SELECT entity_id, {d_basic('business_name')} AS name_b, {d_basic('business_address')} AS addr_b FROM targets")
+@query("norm_basic", f"{PREP} SELECT entity_id, {d_basic('business_name')} AS name_b, {d_basic('business_address')} AS addr_b FROM pall")
 def norm_basic(spark, d):
-    return targets(spark, d).select("entity_id", nz.basic("business_name").alias("name_b"), nz.basic("business_address").alias("addr_b"))
+    return _records(spark, d).select("entity_id", nz.basic("business_name").alias("name_b"), nz.basic("business_address").alias("addr_b"))
 
 
 @query("norm_name", f"{PREP} SELECT entity_id, name_n FROM p1 UNION ALL SELECT entity_id, name_n FROM pt")
@@ -182,27 +189,27 @@ def core_name(spark, d):
     return s1.select("entity_id", nz.core("name_n").alias("core_n")).unionByName(t.select("entity_id", nz.core("name_n").alias("core_n")))
 
 
-@query("join_initials", f"{with_sql()} SELECT entity_id, {d_initials(d_basic('business_name'))} AS joined FROM biz_s1")
+@query("join_initials", f"{PREP} SELECT entity_id, {d_initials(d_basic('business_name'))} AS joined FROM pall")
 def join_initials(spark, d):
-    return _s1(spark, d).select("entity_id", nz.join_initials(nz.basic("business_name")).alias("joined"))
+    return _records(spark, d).select("entity_id", nz.join_initials(nz.basic("business_name")).alias("joined"))
 
 
-@query("squash", f"{PREP} SELECT entity_id, {d_squash('name_n')} AS squashed FROM pt")
+@query("squash", f"{PREP} SELECT entity_id, {d_squash('name_n')} AS squashed FROM pall")
 def squash(spark, d):
-    return _prep(spark, d)[1].select("entity_id", nz.squash("name_n").alias("squashed"))
+    return _records(spark, d).select("entity_id", nz.squash("name_n").alias("squashed"))
 
 
-@query("addr_numbers", f"{PREP} SELECT entity_id, array_to_string(list_sort({d_numbers('addr_n')}), ' ') AS numbers FROM pt")
+@query("addr_numbers", f"{PREP} SELECT entity_id, array_to_string(list_sort({d_numbers('addr_n')}), ' ') AS numbers FROM pall")
 def addr_numbers(spark, d):
-    return _prep(spark, d)[1].select("entity_id", F.array_join(F.array_sort(nz.numbers("addr_n")), " ").alias("numbers"))
+    return _records(spark, d).select("entity_id", F.array_join(F.array_sort(nz.numbers("addr_n")), " ").alias("numbers"))
 
 
 D_POST = "coalesce((SELECT CASE WHEN length(z) IN (5, 6) THEN z ELSE '' END FROM (SELECT list_filter(string_split(addr_n, ' ')[2:], lambda t: regexp_full_match(t, '[0-9]+'))[-1] AS z)), '')"
 
 
-@query("addr_postcode", f"{PREP} SELECT entity_id, {D_POST} AS postcode FROM p1")
+@query("addr_postcode", f"{PREP} SELECT entity_id, {D_POST} AS postcode FROM pall")
 def addr_postcode(spark, d):
-    return _prep(spark, d)[0].select("entity_id", nz.postcode("addr_n").alias("postcode"))
+    return _records(spark, d).select("entity_id", nz.postcode("addr_n").alias("postcode"))
 
 
 @query("num_min_diff", f"""{PREP}, n AS (SELECT s1, tgt, {d_numbers('a.addr_n')} AS x, {d_numbers('b.addr_n')} AS y FROM cand JOIN p1 a ON a.entity_id = s1 JOIN pt b ON b.entity_id = tgt),
@@ -214,17 +221,37 @@ def num_min_diff(spark, d):
     return pairs.select("s1", "tgt", nz.number_gap(nz.numbers("addr_n_1"), nz.numbers("addr_n_2")).alias("gap"))
 
 
-@query("crc_bucket_split")
+def _crc_table() -> list[int]:
+    table = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        table.append(n)
+    return table
+
+
+def d_crc(x: str) -> str:
+    """crc32 of an ASCII text, byte by byte."""
+    codes = f"list_prepend(4294967295::BIGINT, list_transform(string_split({x}, ''), lambda c: ord(c)::BIGINT))"
+    return f"xor(list_reduce({codes}, lambda a, b: xor((CAST({_crc_table()} AS BIGINT[]))[(xor(a, b) & 255) + 1], a >> 8)), 4294967295::BIGINT)"
+
+
+@query("crc_bucket_split", f"{with_sql()}, b AS (SELECT entity_id, CAST({d_crc('entity_id')} % 10 AS INT) AS bucket FROM biz_s1) SELECT entity_id, bucket, CASE WHEN bucket < 6 THEN 'vectors' WHEN bucket < 9 THEN 'matcher' ELSE 'holdout' END AS part FROM b")
 def crc_bucket_split(spark, d):
     return lb.part(_s1(spark, d).select("entity_id"))
 
 
-@query("group_split")
+@query("group_split", f"{PREP} SELECT s1, side, count(*) AS pairs FROM (SELECT s1, CASE WHEN " + d_crc("'split:' || s1") + " % 100 < 20 THEN 'test' ELSE 'train' END AS side FROM cand) GROUP BY s1, side")
 def group_split(spark, d):
     train, test = lb.group_split(_candidates(spark, d))
     return train.withColumn("side", F.lit("train")).unionByName(test.withColumn("side", F.lit("test"))).groupBy("s1", "side").agg(F.count("*").alias("pairs"))
 
 
+@query("nested_split", f"{PREP}, d AS (SELECT s1, " + d_crc("'holdout:' || s1") + " % 100 AS h, " + d_crc("'valid:' || s1") + " % 100 AS v FROM cand) SELECT s1, CASE WHEN h < 20 THEN 'holdout' WHEN v < 20 THEN 'valid' ELSE 'train' END AS side, count(*) AS pairs FROM d GROUP BY ALL")
+def nested_split(spark, d):
+    return lb.nested_split(_candidates(spark, d)).groupBy("s1", "side").agg(F.count("*").alias("pairs"))
+
+
 # ---------------------------------------------------------------- labels, sources, profile
 
 
@@ -350,12 +377,12 @@ def chunked_topk(spark, d):
     return bl.top_k(scores, 3, chunk="chunk").select("s1", "tgt", "chunk")
 
 
-@query("recall_at_k", f"""{PREP}, {d_topk('name_n', 20, 'x')}, {d_topk('addr_n', 20, 'y')},
+@query("recall_at_k", f"""{PREP}, {d_topk('name_n', 50, 'x')}, {d_topk('addr_n', 50, 'y')},
 r AS (SELECT 'name' AS channel, s1, tgt, rank FROM x_k UNION ALL SELECT 'address', s1, tgt, rank FROM y_k), u AS (SELECT * FROM r UNION ALL SELECT 'union', s1, tgt, min(rank) FROM r GROUP BY s1, tgt)
-SELECT channel, CAST(k AS INT) AS k, count(*) AS found, round(count(*) / CAST((SELECT count(*) FROM truth) AS DOUBLE), 6) AS recall FROM u JOIN truth t ON t.s1 = u.s1 AND t.tgt = u.tgt JOIN (SELECT unnest([5, 10, 20]) AS k) ON rank < k GROUP BY channel, k""")
+SELECT channel, CAST(k AS INT) AS k, count(*) AS found, round(count(*) / CAST((SELECT count(*) FROM truth) AS DOUBLE), 6) AS recall FROM u JOIN truth t ON t.s1 = u.s1 AND t.tgt = u.tgt JOIN (SELECT unnest([5, 10, 20, 50]) AS k) ON rank < k GROUP BY channel, k""")
 def recall_at_k(spark, d):
-    ranked = {"name": _tf_topk(spark, d, "name_n", 20), "address": _tf_topk(spark, d, "addr_n", 20)}
-    return _round(ev.recall_at(ranked, _truth(spark, d), (5, 10, 20)), "recall")
+    ranked = {"name": _tf_topk(spark, d, "name_n", 50), "address": _tf_topk(spark, d, "addr_n", 50)}
+    return _round(ev.recall_at(ranked, _truth(spark, d)), "recall")
 
 
 @query("eligible_recall", f"{PREP}, e AS (SELECT * FROM truth WHERE tgt IN (SELECT entity_id FROM biz_s2)), c AS (SELECT count(*) AS n FROM e JOIN cand ON e.s1 = cand.s1 AND e.tgt = cand.tgt) SELECT (SELECT count(*) FROM e) AS true_pairs, n AS found, round(n / CAST((SELECT count(*) FROM e) AS DOUBLE), 6) AS recall, (SELECT count(*) FROM cand) AS candidates FROM c")
@@ -507,14 +534,32 @@ def flags18(spark, d):
     return pairs.select("s1", "tgt", *[c.cast("long" if "difference" in k else "int").alias(k) for k, c in out.items()])
 
 
-@query("fuzz_ratios")
+_left = lambda x, y: f"array_to_string(list_sort(list_filter(list_distinct({x}), lambda t: NOT list_contains({y}, t))), ' ')"
+D_FUZZ = f"""fw AS (SELECT s1, tgt, a.name_n AS a, b.name_n AS b, list_sort({d_tokens('a.name_n')}) AS x, list_sort({d_tokens('b.name_n')}) AS y FROM cand JOIN p1 a ON a.entity_id = s1 JOIN pt b ON b.entity_id = tgt),
+fz AS (SELECT *, array_to_string(x, ' ') AS sa, array_to_string(y, ' ') AS sb, {_left('x', 'y')} AS la, {_left('y', 'x')} AS lb, array_to_string(list_sort(list_filter(list_distinct(x), lambda t: list_contains(y, t))), ' ') AS both_have FROM fw),
+sp AS (SELECT a, b FROM fz UNION SELECT sa, sb FROM fz UNION SELECT la, lb FROM fz),
+lcs(a, b, j, line) AS (SELECT a, b, 0, list_transform(generate_series(0, length(a)), lambda i: 0::BIGINT) FROM sp UNION ALL
+  SELECT a, b, j + 1, list_transform(generate_series(0, length(a)), lambda i: list_max(list_transform(generate_series(0, i), lambda q: CASE WHEN q > 0 AND substr(a, q, 1) = substr(b, j + 1, 1) THEN line[q] + 1 ELSE line[q + 1] END))) FROM lcs WHERE j < length(b)),
+lens AS (SELECT a, b, line[-1] AS n FROM lcs WHERE j = length(b)),
+fr AS (SELECT s1, tgt, length(fz.a) + length(fz.b) AS t, u.n AS n0, length(sa) + length(sb) AS st, v.n AS n1, w.n AS n2, len(x) = 0 OR len(y) = 0 AS none, length(la) AS nl, length(lb) AS nr, length(both_have) AS nb, nb + CASE WHEN nb > 0 THEN 1 ELSE 0 END + nl AS m1, nb + CASE WHEN nb > 0 THEN 1 ELSE 0 END + nr AS m2
+  FROM fz JOIN lens u ON u.a = fz.a AND u.b = fz.b JOIN lens v ON v.a = sa AND v.b = sb JOIN lens w ON w.a = la AND w.b = lb)"""
+
+
+@query("fuzz_ratios", f"""{PREP}, {D_FUZZ} SELECT s1, tgt, round(CASE WHEN t > 0 THEN 2 * n0 / CAST(t AS DOUBLE) ELSE 1 END, 6) AS ratio, round(CASE WHEN st > 0 THEN 2 * n1 / CAST(st AS DOUBLE) ELSE 1 END, 6) AS token_sort,
+round(CASE WHEN none THEN 0 WHEN nb > 0 AND (nl = 0 OR nr = 0) THEN 1 ELSE greatest(1 - (nl + nr - 2 * n2) / CAST(m1 + m2 AS DOUBLE), CASE WHEN nb > 0 THEN greatest(2 * nb / CAST(nb + m1 AS DOUBLE), 2 * nb / CAST(nb + m2 AS DOUBLE)) ELSE 0 END) END, 6) AS token_set FROM fr""")
 def fuzz_ratios(spark, d):
     s1, t = _prep(spark, d)
     a, b = F.col("name_n_1"), F.col("name_n_2")
-    out = {"ratio": sim.ratio(a, b), "token_sort": sim.token_sort_ratio(a, b), "token_set": sim.token_set_ratio(a, b), "partial": sim.partial_ratio(a, b)}
+    out = {"ratio": sim.ratio(a, b), "token_sort": sim.token_sort_ratio(a, b), "token_set": sim.token_set_ratio(a, b)}
     return ft.attach(_candidates(spark, d), s1, t).select("s1", "tgt", *[F.round(c, 6).alias(k) for k, c in out.items()])
 
 
+@query("fuzz_partial")
+def fuzz_partial(spark, d):
+    s1, t = _prep(spark, d)
+    return ft.attach(_candidates(spark, d), s1, t).select("s1", "tgt", F.round(sim.partial_ratio("name_n_1", "name_n_2"), 6).alias("partial"))
+
+
 @query("jaro_winkler_core", f"{PREP} SELECT s1, tgt, round(jaro_winkler_similarity({d_core('a.name_n')}, {d_core('b.name_n')}), 6) AS jw FROM cand JOIN p1 a ON a.entity_id = s1 JOIN pt b ON b.entity_id = tgt")
 def jaro_winkler_core(spark, d):
     s1, t = _prep(spark, d)
@@ -528,9 +573,9 @@ def features18(spark, d):
 
 @query("features46")
 def features46(spark, d):
-    s1, t = (x.cache() for x in _prep(spark, d))
-    scores = bl.field_scores(s1, t).cache()
-    kept = bl.keep(bl.three_channels(scores)).cache()
+    s1, t = (sk.scratch(x, "records") for x in _prep(spark, d))
+    scores = sk.scratch(bl.field_scores(s1, t), "scores")
+    kept = sk.scratch(bl.keep(bl.three_channels(scores)), "kept")
     return ft.full_set(kept, s1, t, scores.select("s1", "tgt", "name_cos", "addr_cos"))
 
 
@@ -579,31 +624,80 @@ def macro_f05_by_country(spark, d):
     return _round(ev.macro_f05(_queries(spark, d), _n_true(spark, d), expected_f05(spark, d), _truth(spark, d), by="country"), "f05")
 
 
-_GRID = [{"mode": "threshold", "threshold": t} for t in (0.3, 0.5, 0.7, 0.9)]
+_STEPS = [(i, r["threshold"]) for i, r in enumerate(dc.RULES) if r["mode"] == "threshold"]
+_BETS = [(i, r["floor"], r["extra"]) for i, r in enumerate(dc.RULES) if r["mode"] == "expected"]
+_doubles = lambda values: "[" + ", ".join(f"CAST({v} AS DOUBLE)" for v in values) + "]"
+D_RULES = f"""{D_OWN}, nt AS (SELECT source1_entity_id AS s1, len(list_filter(string_split(matched_entity_ids, ','), lambda x: x <> '')) AS n_true FROM biz_truth),
+steps AS (SELECT unnest({[i for i, _ in _STEPS]}) AS rule, unnest({_doubles(t for _, t in _STEPS)}) AS thr), bets AS (SELECT unnest({[i for i, _, _ in _BETS]}) AS rule, unnest({_doubles(f for _, f, _ in _BETS)}) AS floor, unnest({_doubles(e for _, _, e in _BETS)}) AS extra),
+tot AS (SELECT s1, sum(p) AS mass, exp(sum(ln(1 - least(p, 1 - 1e-6)))) AS p_none FROM scoredp GROUP BY s1),
+runs AS (SELECT rule, o.s1, o.tgt, o.p, mass + extra AS n_exp, p_none, row_number() OVER w AS k, sum(o.p) OVER (w ROWS UNBOUNDED PRECEDING) AS cum FROM own o JOIN tot ON tot.s1 = o.s1 JOIN bets ON o.p >= floor WINDOW w AS (PARTITION BY rule, o.s1 ORDER BY o.p DESC, o.tgt)),
+worth AS (SELECT *, round(1.25 * cum / (k + 0.25 * n_exp), 12) AS gain FROM runs), heads AS (SELECT rule, s1, max(gain) AS top, arg_min(k, (-gain, k)) AS take FROM worth GROUP BY rule, s1),
+picked AS (SELECT w.rule, w.s1, w.tgt FROM worth w JOIN heads h ON h.rule = w.rule AND h.s1 = w.s1 WHERE w.k <= h.take AND h.top > w.p_none UNION ALL SELECT rule, s1, tgt FROM own JOIN steps ON p >= thr),
+hits AS (SELECT rule, picked.s1, count(*) AS n_pred, count(t.s1) AS tp FROM picked LEFT JOIN truth t ON t.s1 = picked.s1 AND t.tgt = picked.tgt GROUP BY rule, picked.s1),
+every AS (SELECT rule, s.entity_id AS s1, s.country, coalesce(n_true, 0) AS n_true FROM biz_s1 s LEFT JOIN nt ON nt.s1 = s.entity_id, (SELECT rule FROM steps UNION ALL SELECT rule FROM bets)),
+marks AS (SELECT e.rule, e.s1, e.country, n_true, CASE WHEN 1.25 * coalesce(tp, 0) + 0.25 * (n_true - coalesce(tp, 0)) + coalesce(n_pred, 0) - coalesce(tp, 0) > 0 THEN 1.25 * coalesce(tp, 0) / CAST(1.25 * coalesce(tp, 0) + 0.25 * (n_true - coalesce(tp, 0)) + coalesce(n_pred, 0) - coalesce(tp, 0) AS DOUBLE) ELSE 1 END AS v FROM every e LEFT JOIN hits h ON h.rule = e.rule AND h.s1 = e.s1)"""
 
 
-@query("rule_grid_thresholds", f"""{PREP}, {D_OWN}, nt AS (SELECT source1_entity_id AS s1, len(list_filter(string_split(matched_entity_ids, ','), lambda x: x <> '')) AS n_true FROM biz_truth),
-r AS (SELECT unnest([0, 1, 2, 3]) AS rule, unnest([0.3, 0.5, 0.7, 0.9]) AS thr), hp AS (SELECT rule, own.s1, count(*) AS n_pred, count(t.s1) AS tp FROM own JOIN r ON p >= CAST(thr AS DOUBLE) LEFT JOIN truth t ON t.s1 = own.s1 AND t.tgt = own.tgt GROUP BY rule, own.s1)
-SELECT CAST(r.rule AS INT) AS rule, round(avg(CASE WHEN 1.25 * coalesce(tp, 0) + 0.25 * (n_true - coalesce(tp, 0)) + coalesce(n_pred, 0) - coalesce(tp, 0) > 0 THEN 1.25 * coalesce(tp, 0) / CAST(1.25 * coalesce(tp, 0) + 0.25 * (n_true - coalesce(tp, 0)) + coalesce(n_pred, 0) - coalesce(tp, 0) AS DOUBLE) ELSE 1 END), 6) AS f05
-FROM nt CROSS JOIN r LEFT JOIN hp ON hp.s1 = nt.s1 AND hp.rule = r.rule GROUP BY r.rule""")
-def rule_grid_thresholds(spark, d):
-    return _round(ev.rule_grid(_scored(spark, d), _queries(spark, d), _n_true(spark, d), _truth(spark, d), _GRID), "f05")
+@query("rule_grid", f"{PREP}, {D_RULES} SELECT CAST(rule AS INT) AS rule, round(avg(v), 6) AS f05 FROM marks GROUP BY rule")
+def rule_grid(spark, d):
+    return _round(ev.rule_grid(_scored(spark, d), _queries(spark, d), _n_true(spark, d), _truth(spark, d)), "f05")
 
 
-@query("rule_grid")
-def rule_grid(spark, d):
-    return ev.rule_grid(_scored(spark, d), _queries(spark, d), _n_true(spark, d), _truth(spark, d))
+@query("tuned_by_country", f"{PREP}, {D_RULES} SELECT country, count(*) AS queries, round(avg(CASE WHEN n_true = 0 THEN 1.0 ELSE 0.0 END), 6) AS singles, round(avg(v), 6) AS f05 FROM marks WHERE rule = {_BETS[5][0]} GROUP BY country")
+def tuned_by_country(spark, d):
+    rule = dc.RULES[_BETS[5][0]]
+    return _round(ev.country_table(_scored(spark, d), _queries(spark, d), _n_true(spark, d), _truth(spark, d), rule), "singles", "f05")
+
+
+D_RANKED = """ranked AS (SELECT s1, tgt, p, row_number() OVER (PARTITION BY tgt ORDER BY p DESC, s1) - 1 AS rank_a, row_number() OVER (PARTITION BY s1 ORDER BY p DESC, tgt) - 1 AS rank_b, row_number() OVER (PARTITION BY tgt ORDER BY s1) - 1 AS rank_c FROM scoredp)"""
+
+
+def d_smaller(k_b: int, with_c: bool) -> str:
+    kept = f"(SELECT * FROM ranked WHERE rank_a < 1 OR rank_b < {k_b}{' OR rank_c < 1' if with_c else ''})"
+    found = f"(SELECT s1, tgt FROM (SELECT *, row_number() OVER (PARTITION BY tgt ORDER BY p DESC, s1) AS n FROM {kept}) WHERE n = 1 AND p >= 0.4)"
+    hits = f"(SELECT o.s1, count(*) AS n_pred, count(t.s1) AS tp FROM {found} o LEFT JOIN truth t ON t.s1 = o.s1 AND t.tgt = o.tgt GROUP BY o.s1)"
+    down = "1.25 * coalesce(tp, 0) + 0.25 * (coalesce(n_true, 0) - coalesce(tp, 0)) + coalesce(n_pred, 0) - coalesce(tp, 0)"
+    return f"SELECT CAST({k_b} AS INT) AS k_b, {with_c} AS with_c, round((SELECT count(*) FROM {kept}) / CAST(count(*) AS DOUBLE), 6) AS per_s1, round(avg(CASE WHEN {down} > 0 THEN 1.25 * coalesce(tp, 0) / CAST({down} AS DOUBLE) ELSE 1 END), 6) AS f05 FROM biz_s1 s LEFT JOIN nt ON nt.s1 = s.entity_id LEFT JOIN {hits} h ON h.s1 = s.entity_id"
+
+
+@query("smaller_sets", f"{PREP}, {D_RANKED}, nt AS (SELECT source1_entity_id AS s1, len(list_filter(string_split(matched_entity_ids, ','), lambda x: x <> '')) AS n_true FROM biz_truth) " + " UNION ALL ".join(d_smaller(b, c) for b in (0, 3, 5) for c in (False, True)))
+def smaller_sets(spark, d):
+    rank = lambda per, *order: (F.row_number().over(Window.partitionBy(per).orderBy(*order)) - 1)
+    ranked = _scored(spark, d).withColumns({"rank_a": rank("tgt", F.desc("p"), "s1"), "rank_b": rank("s1", F.desc("p"), "tgt"), "rank_c": rank("tgt", F.asc("s1"))})
+    return _round(ev.smaller_sets(ranked, _queries(spark, d), _n_true(spark, d), _truth(spark, d), {"mode": "threshold", "threshold": 0.4}), "per_s1", "f05")
 
 
 SWEEP = [round(0.30 + 0.05 * i, 3) for i in range(14)]
 D_LAB = "lab AS (SELECT c.s1, c.tgt, c.p, CASE WHEN t.s1 IS NULL THEN 0 ELSE 1 END AS y FROM scoredp c LEFT JOIN truth t ON t.s1 = c.s1 AND t.tgt = c.tgt)"
-D_CONF = f"""thr AS (SELECT unnest([{', '.join(f'CAST({t} AS DOUBLE)' for t in SWEEP)}]) AS threshold), conf AS (SELECT threshold, CAST(sum(CASE WHEN p >= threshold AND y = 1 THEN 1 ELSE 0 END) AS BIGINT) AS tp, CAST(sum(CASE WHEN p >= threshold AND y = 0 THEN 1 ELSE 0 END) AS BIGINT) AS fp, CAST(sum(CASE WHEN p < threshold AND y = 1 THEN 1 ELSE 0 END) AS BIGINT) AS fn, CAST(sum(CASE WHEN p < threshold AND y = 0 THEN 1 ELSE 0 END) AS BIGINT) AS tn FROM lab, thr GROUP BY threshold),
+def d_conf(sweep: list[float]) -> str:
+    return f"""thr AS (SELECT unnest([{', '.join(f'CAST({t} AS DOUBLE)' for t in sweep)}]) AS threshold), conf AS (SELECT threshold, CAST(sum(CASE WHEN p >= threshold AND y = 1 THEN 1 ELSE 0 END) AS BIGINT) AS tp, CAST(sum(CASE WHEN p >= threshold AND y = 0 THEN 1 ELSE 0 END) AS BIGINT) AS fp, CAST(sum(CASE WHEN p < threshold AND y = 1 THEN 1 ELSE 0 END) AS BIGINT) AS fn, CAST(sum(CASE WHEN p < threshold AND y = 0 THEN 1 ELSE 0 END) AS BIGINT) AS tn FROM lab, thr GROUP BY threshold),
 pr AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / CAST(tp + fp AS DOUBLE) ELSE 0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / CAST(tp + fn AS DOUBLE) ELSE 0 END AS recall FROM conf)"""
 
 
-@query("threshold_sweep", f"{PREP}, {D_LAB}, {D_CONF} SELECT threshold, tp, fp, fn, tn, round(precision, 6) AS precision, round(recall, 6) AS recall, round(CASE WHEN 0.25 * precision + recall > 0 THEN 1.25 * precision * recall / (0.25 * precision + recall) ELSE 0 END, 6) AS f05 FROM pr")
+# Further thresholds that are compared.
+WIDE = [0.5, 0.6, 0.7, 0.75, 0.8, 0.85, 0.9, 0.92, 0.94, 0.95, 0.96, 0.97, 0.98, 0.99, 0.995]
+FINE = [round(0.8 + 0.005 * i, 3) for i in range(41)]
+D_CONF = d_conf(SWEEP)
+D_SWEPT = "SELECT threshold, tp, fp, fn, tn, round(precision, 6) AS precision, round(recall, 6) AS recall, round(CASE WHEN 0.25 * precision + recall > 0 THEN 1.25 * precision * recall / (0.25 * precision + recall) ELSE 0 END, 6) AS f05 FROM pr"
+
+
+def _sweep(spark: SparkSession, d: str, thresholds: list[float]) -> DataFrame:
+    return _round(ev.confusion(lb.label(_scored(spark, d), _truth(spark, d)), thresholds), "precision", "recall", "f05")
+
+
+@query("threshold_sweep", f"{PREP}, {D_LAB}, {D_CONF} {D_SWEPT}")
 def threshold_sweep(spark, d):
-    return _round(ev.confusion(lb.label(_scored(spark, d), _truth(spark, d)), SWEEP), "precision", "recall", "f05")
+    return _sweep(spark, d, SWEEP)
+
+
+@query("threshold_sweep_wide", f"{PREP}, {D_LAB}, {d_conf(WIDE)} {D_SWEPT}")
+def threshold_sweep_wide(spark, d):
+    return _sweep(spark, d, WIDE)
+
+
+@query("threshold_sweep_fine", f"{PREP}, {D_LAB}, {d_conf(FINE)} {D_SWEPT}")
+def threshold_sweep_fine(spark, d):
+    return _sweep(spark, d, FINE)
 
 
 @query("best_threshold", f"{PREP}, {D_LAB}, {D_CONF} SELECT threshold, round(CASE WHEN 0.25 * precision + recall > 0 THEN 1.25 * precision * recall / (0.25 * precision + recall) ELSE 0 END, 6) AS f05 FROM pr ORDER BY 2 DESC, round(precision, 6) DESC, threshold DESC LIMIT 1")
@@ -637,10 +731,10 @@ def output_validation(spark, d):
     return sk.validate(_s1(spark, d), targets(spark, d), one_owner(spark, d), _candidates(spark, d))
 
 
-@query("numeric_decoys", f"{PREP}, n AS (SELECT s1, tgt, {d_numbers('a.addr_n')} AS x, {d_numbers('b.addr_n')} AS y, list_filter({d_tokens('a.addr_n')}, lambda t: NOT regexp_matches(t, '[0-9]')) AS u, list_filter({d_tokens('b.addr_n')}, lambda t: NOT regexp_matches(t, '[0-9]')) AS v FROM cand JOIN p1 a ON a.entity_id = s1 JOIN pt b ON b.entity_id = tgt) SELECT s1, tgt, CAST(len(list_intersect(u, v)) > 0 AND len(list_intersect(x, y)) = 0 AND len(x) > 0 AND len(y) > 0 AS INT) AS decoy FROM n")
+@query("numeric_decoys", f"{PREP}, n AS (SELECT s1, tgt, {d_numbers('a.addr_n')} AS x, {d_numbers('b.addr_n')} AS y, list_filter({d_tokens('a.addr_n')}, lambda t: NOT regexp_matches(t, '[0-9]')) AS u, list_filter({d_tokens('b.addr_n')}, lambda t: NOT regexp_matches(t, '[0-9]')) AS v FROM cand JOIN p1 a ON a.entity_id = s1 JOIN pt b ON b.entity_id = tgt) SELECT s1, tgt, CAST(len(list_intersect(u, v)) > 0 AND len(list_intersect(x, y)) = 0 AND len(x) > 0 AND len(y) > 0 AS INT) AS decoy, CAST(array_to_string(x, '') = array_to_string(y, '') AND len(x) <> len(y) AND len(x) > 0 AS INT) AS split_number, CAST(len(list_filter(x, lambda p: len(list_filter(y, lambda q: p <> q AND (starts_with(p, q) OR starts_with(q, p)))) > 0)) > 0 AS INT) AS cut_number FROM n")
 def numeric_decoys(spark, d):
     s1, t = _prep(spark, d)
-    return ft.number_decoys(ft.attach(_candidates(spark, d), s1, t)).select("s1", "tgt", "decoy")
+    return ft.number_decoys(ft.attach(_candidates(spark, d), s1, t))
 
 
 @query("name_structure", f"{PREP}, k AS (SELECT s1, tgt, {d_core('a.name_n')} AS x, {d_core('b.name_n')} AS y FROM cand JOIN p1 a ON a.entity_id = s1 JOIN pt b ON b.entity_id = tgt) SELECT s1, tgt, CAST(levenshtein(x, y) AS INT) AS edits, CAST(string_split(x, ' ')[1] = string_split(y, ' ')[1] AS INT) AS same_first, CAST(string_split(x, ' ')[-1] = string_split(y, ' ')[-1] AS INT) AS same_last, CAST(contains(x, y) OR contains(y, x) AS INT) AS contained FROM k")

@@ -17,10 +17,6 @@ def records_tsv(spark: SparkSession, path: str | list[str], quoted: bool = False
     return spark.read.schema(schema).options(**options).csv(path).fillna("")
 
 
-def records_parquet(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    return spark.read.parquet(path).select(*columns)
-
-
 def many_files(spark: SparkSession, pattern: str, expected: int | None = None, schema: StructType = RECORD) -> DataFrame:
     """All files of a pattern; an error if their number is not the expected one."""
     df = records_tsv(spark, pattern, schema=schema)
@@ -57,16 +53,11 @@ def assert_unique(df: DataFrame, *keys: str) -> DataFrame:
     return df
 
 
-def assert_columns(df: DataFrame, *names: str) -> DataFrame:
-    missing = [n for n in names if n not in df.columns]
-    if missing:
-        raise ValueError(f"missing columns {missing}")
-    return df
-
-
-def country_sample(df: DataFrame, country: str, limit: int | None, order: str = "entity_id") -> DataFrame:
-    """The first ``limit`` records of a country, in id order; all if None."""
+def country_sample(df: DataFrame, country: str, limit: int | None, order: str = "entity_id", check: bool = False) -> DataFrame:
+    """The first ``limit`` records of a country, in id order; all if None.  With ``check`` an error where it has none."""
     found = df.where(F.col("country") == country)
+    if check and found.isEmpty():
+        raise ValueError(f"no records of {country}")
     return found if limit is None else found.orderBy(order).limit(limit)
 
 
@@ -98,10 +89,12 @@ def hash_sample(df: DataFrame, n: int, key: str = "entity_id", seed: int = 0) ->
     return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
 
 
-def distractor_pool(targets: DataFrame, pairs: DataFrame, per_source: int) -> DataFrame:
-    """All true targets and the first ``per_source`` others of each source."""
+def distractor_pool(targets: DataFrame, pairs: DataFrame, per_source: int, check: bool = False) -> DataFrame:
+    """All true targets and the first ``per_source`` others of each source.  With ``check`` an error where a true target has no record."""
     from pyspark.sql import Window
 
+    if check and not orphans(pairs, targets).isEmpty():
+        raise ValueError("true targets without a record")
     wanted = pairs.select(F.col("tgt").alias("entity_id")).distinct()
     others = targets.join(wanted, "entity_id", "left_anti").withColumn("__n", F.row_number().over(Window.partitionBy("source").orderBy("entity_id"))).where(F.col("__n") <= per_source).drop("__n")
     return targets.join(wanted, "entity_id", "left_semi").unionByName(others)

@@ -2,17 +2,52 @@
 
 from __future__ import annotations
 
+import atexit
 import json
+import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def stage(df: DataFrame, path: str, resume: bool = True) -> DataFrame:
-    """Writes a stage's table unless it is there (the committer makes it all or nothing) and reads it."""
-    df.write.mode("ignore" if resume else "overwrite").parquet(path)
+    """Writes a stage's table unless a whole one is there, and reads it.
+
+    A table is whole once its committer has left ``_SUCCESS``; what a job that died has
+    left is written over.
+    """
+    done = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not (resume and done.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).exists(done)):
+        df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def scratch(df: DataFrame, name: str) -> DataFrame:
+    """The table written to the folder that ``spark.checkpoint.dir`` names and read back: its plan ends here.
+
+    It is deleted when the driver ends.  Without that setting (tests) a folder of the
+    machine does, if the master is local.
+    """
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors see")
+        root = "file://" + tempfile.mkdtemp(prefix="matchloom-records-")
+    path = f"{root.rstrip('/')}/matchloom-records/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_delete, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the session may be gone at exit
+        pass
+
+
 def append_tsv(df: DataFrame, path: str) -> None:
     df.write.mode("append").options(sep="\t", header=True, emptyValue="").csv(path)
 
@@ -52,3 +87,14 @@ def validate(s1: DataFrame, targets: DataFrame, matches: DataFrame, candidates:
         row = bad.agg(F.count("*").alias("violations")).select(F.lit(rule).alias("rule"), "violations")
         out = row if out is None else out.unionByName(row)
     return out
+
+
+def validate_lists(s1: DataFrame, targets: DataFrame, matches: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(rule, violations) of written lists (source1_entity_id, ids): both list every S1 once, and what they list holds."""
+    rows = lambda lists: lists.toDF("s1", "ids").select("s1", F.explode(F.filter(F.split(F.coalesce("ids", F.lit("")), ","), lambda x: x != "")).alias("tgt"))
+    out = validate(s1, targets, rows(matches), rows(candidates))
+    for name, lists in (("matches", matches), ("candidates", candidates)):
+        listed = s1.select(F.col("entity_id").alias("s1")).unionByName(lists.toDF("s1", "ids").select("s1").withColumn("listed", F.lit(1)), allowMissingColumns=True)
+        wrong = listed.groupBy("s1").agg(F.count("listed").alias("n"), F.count("*").alias("rows")).where("n <> 1 or rows <> 2")
+        out = out.unionByName(wrong.agg(F.count("*").alias("violations")).select(F.lit(f"{name}_not_once").alias("rule"), "violations"))
+    return out

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from matchloom.functions import normalize as nz, similarity as sim
 
+from . import scalar_scorers as sc
+
 
 def value(spark, column, **cells):
     df = spark.createDataFrame([tuple(cells.values())], ", ".join(f"{k} string" for k in cells)) if cells else spark.range(1)
@@ -68,33 +70,31 @@ def test_jaccard_and_overlap(spark):
     assert value(spark, sim.number_overlap(a, b), a="12a", b="12a") == 0
 
 
-def slow_subsequence(a, b):
-    row = [0] * (len(b) + 1)
-    for x in a:
-        new = [0]
-        for j, y in enumerate(b):
-            new.append(row[j] + 1 if x == y else max(row[j + 1], new[-1]))
-        row = new
-    return row[-1]
+words = st.lists(st.sampled_from(["ab", "abc", "c", "ba", "é", "x" * 70, "ab" * 40, "\U0001f600"]), max_size=5).map(" ".join) | st.text("ab c\0", max_size=14)
+VECTOR = {sim.ratios: sc.ratio_of, sim.sorted_ratios: sc.sorted_ratio_of, sim.set_ratios: sc.set_ratio_of, sim.partial_ratios: sc.partial_ratio_of, sim.jaro_winklers: sc.jaro_winkler_of}
 
 
-words = st.text("ab c", max_size=12)
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(words, words), max_size=12))
+def test_scorers_equal_brute_force(pairs):
+    a, b = [x for x, _ in pairs], [y for _, y in pairs]
+    assert sim.subsequences(a, b).tolist() == [sc.subsequence(x, y) for x, y in pairs]
+    for of, one in VECTOR.items():
+        assert of(a, b).tolist() == pytest.approx([one(x, y) for x, y in pairs])
 
 
-@settings(max_examples=200, deadline=None)
-@given(words, words)
-def test_scorers(a, b):
-    assert sim.subsequence(a, b) == slow_subsequence(a, b)
-    for of in (sim.ratio_of, sim.sorted_ratio_of, sim.set_ratio_of, sim.partial_ratio_of, sim.jaro_winkler_of):
-        assert 0 <= of(a, b) <= 1 and of(a, b) == pytest.approx(of(b, a))
-    assert sim.ratio_of(a, a) == sim.partial_ratio_of(a, a) == 1
-    assert sim.partial_ratio_of(a, b) >= (sim.ratio_of(a, b) if len(a) == len(b) else 0)
+def test_scorers_as_columns(spark):
+    rows = [("acme corp", "acme corporation"), (None, "x"), (None, None), ("", ""), ("acme corp", "acme corporation"), ("w " * 150, "w v " * 90)]
+    df = spark.createDataFrame(rows, "a string, b string").repartition(2)
+    for column, one in zip((sim.ratio, sim.token_sort_ratio, sim.token_set_ratio, sim.partial_ratio, sim.jaro_winkler), VECTOR.values()):
+        for r in df.select("a", "b", column("a", "b").alias("v")).collect():
+            assert r.v == pytest.approx(one(r.a or "", r.b or ""))
+        assert df.where("false").select(column("a", "b")).count() == 0
 
 
 def test_known_scores():
-    assert sim.ratio_of("this is a test", "this is a test!") == pytest.approx(28 / 29)
-    assert sim.set_ratio_of("fuzzy was a bear", "fuzzy fuzzy was a bear") == 1
-    assert sim.sorted_ratio_of("new york mets", "mets york new") == 1
-    assert sim.partial_ratio_of("test", "this is a test!") == 1
-    assert sim.jaro_winkler_of("martha", "marhta") == pytest.approx(0.961111, abs=1e-6)
-    assert sim.ratio_of("", "") == 1 and sim.set_ratio_of("", "") == 0
+    assert sim.ratios(["this is a test", ""], ["this is a test!", ""]).tolist() == pytest.approx([28 / 29, 1])
+    assert sim.set_ratios(["fuzzy was a bear", ""], ["fuzzy fuzzy was a bear", ""]).tolist() == [1, 0]
+    assert sim.sorted_ratios(["new york mets"], ["mets york new"])[0] == 1
+    assert sim.partial_ratios(["test"], ["this is a test!"])[0] == 1
+    assert sim.jaro_winklers(["martha"], ["marhta"])[0] == pytest.approx(0.961111, abs=1e-6)

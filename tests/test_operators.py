@@ -60,6 +60,9 @@ def test_group_split_and_parts(spark):
     rows = q._candidates(spark, SF)
     train, test = lb.group_split(rows)
     assert train.count() + test.count() == rows.count() and lb.disjoint(train, test)
+    sides = lb.nested_split(rows)
+    parts = [sides.where(F.col("side") == x) for x in ("train", "valid", "holdout")]
+    assert all(lb.disjoint(a, b) for i, a in enumerate(parts) for b in parts[:i]) and sum(x.count() for x in parts) == rows.count()
 
 
 def test_readers_and_sinks(spark, tmp_path):
@@ -75,6 +78,14 @@ def test_readers_and_sinks(spark, tmp_path):
         rd.selected(df, spark.createDataFrame([("Z",)], "entity_id string"), check=True)
     first = sk.stage(df, str(tmp_path / "stage"))
     assert sk.stage(df.limit(0), str(tmp_path / "stage")).count() == first.count() == 2
+    died = tmp_path / "died"
+    (died / "_temporary").mkdir(parents=True)
+    (died / "part-00000.parquet").write_bytes(b"half")
+    assert sk.stage(df, str(died)).count() == 2
+    with pytest.raises(ValueError):
+        rd.country_sample(df, "France", 5, check=True)
+    with pytest.raises(ValueError):
+        rd.distractor_pool(df.withColumn("source", F.lit(0)), spark.createDataFrame([("A", "Z")], "s1 string, tgt string"), 1, check=True)
     assert rd.first_existing(spark, str(tmp_path / "none"), str(tmp_path / "stage")).count() == 2
     lists = sk.id_lists(df, spark.createDataFrame([("A", "y"), ("A", "x")], "s1 string, tgt string"), "ids")
     assert sorted(tuple(r) for r in lists.collect()) == [("A", "x,y"), ("B", "")]
@@ -83,6 +94,15 @@ def test_readers_and_sinks(spark, tmp_path):
     assert rd.records_tsv(spark, str(tmp_path / "out")).count() == 4
 
 
+def test_written_lists_are_validated(spark):
+    s1 = spark.createDataFrame([("a",), ("b",)], "entity_id string")
+    targets = spark.createDataFrame([("x",), ("y",)], "entity_id string")
+    lists = lambda *rows: spark.createDataFrame(rows, "source1_entity_id string, ids string")
+    wrong = lambda m, c: {r.rule for r in sk.validate_lists(s1, targets, m, c).collect() if r.violations}
+    assert wrong(lists(("a", "x"), ("b", "")), lists(("a", "x,y"), ("b", None))) == set()
+    assert wrong(lists(("a", "x"), ("a", "")), lists(("a", "y"), ("b", "z"), ("c", ""))) == {"matches_not_once", "candidates_not_once", "not_a_candidate"}
+
+
 def test_truth_is_found_and_features_are_complete(spark):
     found = q.exact_name_recall(spark, SF).first()
     assert found.true_pairs == 180 and 0 < found.recall < 1
