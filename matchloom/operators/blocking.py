@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from . import vectors as vx
 
 NO_RANK = 99
+#: Records of a side in one task, rows multiplied at a time, grams multiplied as dense columns, and products added at a time.
+BLOCK, INNER, DENSE_GRAMS, POSTINGS = 1 << 14, 1024, 2048, 1 << 22
 
 
 def exact_key(s1: DataFrame, targets: DataFrame, key: Column, country: str = "country") -> DataFrame:
@@ -110,27 +112,123 @@ def add_channel(candidates: DataFrame, channel: DataFrame, cos: DataFrame) -> Da
     return rows.select("s1", "tgt", F.coalesce("cos", "own_cos").alias("cos"), rank("rank_a"), rank("rank_b"), F.coalesce("t_top1", "u1").alias("t_top1"), F.coalesce("t_top2", "u2").alias("t_top2"), F.coalesce("s_top1", "v1").alias("s_top1"), rank("rank_c"), "addr_nn_cos")
 
 
-def field_scores(s1: DataFrame, targets: DataFrame, weight: float = 1.0) -> DataFrame:
-    """(s1, tgt, name_cos, addr_cos, score, addr_score) of all records that share a gram of the name or the address.
+def _products(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...], n: int, m: int) -> np.ndarray:
+    """Dot products of all rows of two sparse blocks (row, gram, weight).
+
+    Grams that many rows of either block have are multiplied as dense columns, the
+    others through their postings.
+    """
+    out = np.zeros((n, m))
+    known, at_x = np.unique(x[1], return_inverse=True)
+    place = np.searchsorted(known, y[1])
+    shared = place < len(known)
+    shared[shared] = known[place[shared]] == y[1][shared]
+    rows_y, gram_y, w_y = y[0][shared], place[shared], y[2][shared]
+    count_x, count_y = np.bincount(at_x, minlength=len(known)), np.bincount(gram_y, minlength=len(known))
+    cost = count_x * count_y
+    heavy = np.argsort(-cost, kind="stable")[:DENSE_GRAMS]
+    heavy = heavy[cost[heavy] > (n + m)]
+    column = np.full(len(known), -1)
+    column[heavy] = np.arange(len(heavy))
+    if len(heavy):
+        left, right = np.zeros((n, len(heavy))), np.zeros((m, len(heavy)))
+        for dense, row, gram, w in ((left, x[0], at_x, x[2]), (right, rows_y, gram_y, w_y)):
+            on = column[gram] >= 0
+            dense[row[on], column[gram[on]]] = w[on]
+        out += left @ right.T
+    order = np.argsort(gram_y, kind="stable")
+    rows_y, w_y = rows_y[order], w_y[order]
+    first = np.cumsum(count_y) - count_y
+    light = np.flatnonzero((column[at_x] < 0) & (count_y[at_x] > 0))
+    total = np.cumsum(count_y[at_x[light]])
+    for lo in range(0, int(total[-1]) if len(total) else 0, POSTINGS):
+        part = light[np.searchsorted(total, lo, "right") : np.searchsorted(total, lo + POSTINGS, "right")]
+        size = count_y[at_x[part]]
+        to = np.arange(size.sum()) + np.repeat(first[at_x[part]] - (np.cumsum(size) - size), size)
+        out += np.bincount(np.repeat(x[0][part] * m, size) + rows_y[to], np.repeat(x[2][part], size) * w_y[to], n * m).reshape(n, m)
+    return out
+
+
+def _best(scores: np.ndarray, k: int, ids: np.ndarray) -> np.ndarray:
+    """Columns of the k best of each row, at nine decimals; of equal ones by id."""
+    order = np.argsort(ids, kind="stable")
+    return order[np.argsort(-np.round(scores[:, order], 9), axis=1, kind="stable")[:, :k]]
+
+
+def _rows_of(frame: pd.DataFrame, field: str, lo: int, hi: int) -> tuple[np.ndarray, ...]:
+    grams, weights = frame[f"{field}_grams"].iloc[lo:hi], frame[f"{field}_weights"].iloc[lo:hi]
+    size = np.array([len(g) for g in grams], np.int64)
+    empty = np.zeros(0)
+    return np.repeat(np.arange(hi - lo), size), np.concatenate([*grams, empty.astype(np.int64)]).astype(np.int64), np.concatenate([*weights, empty])
+
+
+def _multiplier(weight: float, cuts: tuple[int, int, int], inner: int):
+    """What a task does with a block of either side: the best pairs of each channel."""
+
+    def combined(name: np.ndarray, addr: np.ndarray, w: float, some_x: np.ndarray, some_y: np.ndarray) -> np.ndarray:
+        length = lambda some: np.sqrt(1 + w * w * some)
+        return np.where((name > 0) | (addr > 0), (name + w * w * addr) / (length(some_x)[:, None] * length(some_y)[None, :]), -np.inf)
+
+    def multiply(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        blocks_y = [(lo, min(len(y), lo + inner)) for lo in range(0, len(y), inner)]
+        fields_y = [[_rows_of(y, f, lo, hi) for f in ("name", "addr")] for lo, hi in blocks_y] if len(x) else []
+        for lo in range(0, len(x), inner):
+            hi = min(len(x), lo + inner)
+            si, some_x = x["id"].to_numpy()[lo:hi], x["some"].to_numpy()[lo:hi].astype(float)
+            fields_x = [_rows_of(x, f, lo, hi) for f in ("name", "addr")]
+            for (a, z), fields in zip(blocks_y, fields_y):
+                ti, some_y = y["id"].to_numpy()[a:z], y["some"].to_numpy()[a:z].astype(float)
+                name, addr = (_products(p, q, hi - lo, z - a) for p, q in zip(fields_x, fields))
+                score, by_address = (combined(name, addr, w, some_x, some_y) for w in (weight, 1000.0))
+                for way, table, k, own, other in (("a", score.T, cuts[0], ti, si), ("b", score, cuts[1], si, ti), ("c", by_address.T, cuts[2], ti, si)):
+                    best = _best(table, k, other)
+                    row, column = np.repeat(np.arange(len(own)), best.shape[1]), best.ravel()
+                    real = np.isfinite(table[row, column])
+                    i, j = (row[real], column[real]) if way == "b" else (column[real], row[real])
+                    found.append(pd.DataFrame({"s1": si[i], "tgt": ti[j], "name_cos": name[i, j], "addr_cos": addr[i, j], "score": score[i, j], "addr_score": by_address[i, j], "way": way}))
+        return pd.concat(found) if found else pd.DataFrame(columns=["s1", "tgt", "name_cos", "addr_cos", "score", "addr_score", "way"])
+
+    return multiply
+
+
+def nearest_by_field(s1: DataFrame, targets: DataFrame, weight: float = 1.0, cuts: tuple[int, int, int] = (5, 20, 2), block: int = BLOCK, inner: int = INNER) -> DataFrame:
+    """(s1, tgt, name_cos, addr_cos, score, addr_score, way): the best pairs of each channel, exactly.
 
     Records have entity_id, country, name_n, addr_n.  ``score`` is the combined cosine,
-    ``addr_score`` the one that the address decides.
+    ``addr_score`` the one that the address decides; pairs without a common gram have
+    none.  Way a: the best S1 of each target, b: the best targets of each S1, c: the
+    best S1 of each target by address.  Both sides are cut into blocks; a task
+    multiplies two blocks, a part at a time, and gives only the best of its pairs, so
+    no table of all pairs comes about.
     """
-    bags = lambda df, key: [vx.unit_length(bag, key, "country") for bag in vx.record_bags(df.withColumnRenamed("entity_id", key), key, "country")]
-    name, addr = (sparse_scores(x, y) for x, y in zip(bags(s1, "s1"), bags(targets, "tgt")))
-    both = name.withColumnRenamed("score", "name_cos").join(addr.withColumnRenamed("score", "addr_cos"), ["s1", "tgt"], "full")
-    some = lambda df, key: df.select(F.col("entity_id").alias(key), (F.col("addr_n") != "").alias(f"some_{key}"))
-    both = both.join(some(s1, "s1"), "s1").join(some(targets, "tgt"), "tgt")
-    cos = lambda w: vx.combined_cosine(F.coalesce("name_cos", F.lit(0.0)), F.col("addr_cos"), w, F.col("some_s1"), F.col("some_tgt"))
-    return both.select("s1", "tgt", "name_cos", "addr_cos", cos(weight).alias("score"), cos(1000.0).alias("addr_score"))
-
-
-def three_channels(scores: DataFrame) -> DataFrame:
-    """Candidates from ``field_scores``: both directions on the combined score, and the address channel."""
-    combined = scores.select("s1", "tgt", "score")
-    table = candidate_table(top(combined, "tgt", "s1", 5), top(combined, "s1", "tgt", 20))
-    channel = top(scores.select("s1", "tgt", F.col("addr_score").alias("score")), "tgt", "s1", 2)
-    return add_channel(table, channel, combined.withColumnRenamed("score", "cos"))
+    def side(df: DataFrame, own: str, other_df: DataFrame) -> DataFrame:
+        rows = df.select(F.col("entity_id").alias("id"), "country", (F.col("addr_n") != "").alias("some"))
+        for field, bag in zip(("name", "addr"), vx.record_bags(df.withColumnRenamed("entity_id", "id"), "id", "country")):
+            listed = vx.unit_length(bag, "id", "country").groupBy("id").agg(F.collect_list(F.struct(F.xxhash64("gram").alias("g"), "w")).alias("l"))
+            rows = rows.join(listed.select("id", F.col("l.g").alias(f"{field}_grams"), F.col("l.w").alias(f"{field}_weights")), "id", "left")
+        none = {f"{f}_{x}": F.coalesce(f"{f}_{x}", F.array().cast(t)) for f in ("name", "addr") for x, t in (("grams", "array<long>"), ("weights", "array<double>"))}
+        sizes = [d.groupBy("country").agg(F.ceil(F.count("*") / block).alias(n)) for d, n in ((df, "n"), (other_df, "m"))]
+        rows = rows.withColumns(none).join(F.broadcast(sizes[0]), "country").join(F.broadcast(sizes[1]), "country")
+        other = "b" if own == "a" else "a"
+        return rows.withColumn(own, F.pmod(F.xxhash64("id"), F.col("n"))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1))).drop("n", "m")
+
+    left, right = side(s1, "a", targets), side(targets, "b", s1)
+    kind = dict(s1.dtypes)["entity_id"]
+    schema = f"s1 {kind}, tgt {kind}, name_cos double, addr_cos double, score double, addr_score double, way string"
+    grouped = (df.groupBy("country", "a", "b") for df in (left, right))
+    found = next(grouped).cogroup(next(grouped)).applyInPandas(_multiplier(weight, cuts, inner), schema)
+    positive = {c: F.when(F.col(c) > 0, F.col(c)) for c in ("name_cos", "addr_cos")}
+    return found.withColumns(positive)
+
+
+def three_channels(found: DataFrame, cuts: tuple[int, int, int] = (5, 20, 2)) -> DataFrame:
+    """Candidates from ``nearest_by_field``: both directions on the combined score, and the address channel; with the fields' cosines."""
+    of = lambda way, score: found.where(F.col("way") == way).select("s1", "tgt", F.col(score).alias("score"))
+    table = candidate_table(top(of("a", "score"), "tgt", "s1", cuts[0]), top(of("b", "score"), "s1", "tgt", cuts[1]))
+    pairs = found.groupBy("s1", "tgt").agg(F.first("score").alias("cos"), F.first("name_cos").alias("name_cos"), F.first("addr_cos").alias("addr_cos"))
+    out = add_channel(table, top(of("c", "addr_score"), "tgt", "s1", cuts[2]), pairs.select("s1", "tgt", "cos"))
+    return out.join(pairs.drop("cos"), ["s1", "tgt"], "left")
 
 
 def keep(candidates: DataFrame, a: int = 1, b: int = 3, c: int = 1) -> DataFrame:

@@ -70,14 +70,15 @@ def number_features(a1: Column, a2: Column) -> dict[str, Column]:
     }
 
 
-def full_set(candidates: DataFrame, s1: DataFrame, targets: DataFrame, field_cos: DataFrame | None = None) -> DataFrame:
+def full_set(candidates: DataFrame, s1: DataFrame, targets: DataFrame) -> DataFrame:
     """The 46 features.  Records have entity_id, country, name_n, addr_n; targets also source (0 or 1).
 
-    ``candidates`` come from ``blocking.keep``; ``field_cos`` has (s1, tgt, name_cos,
-    addr_cos).  The country is no feature.
+    ``candidates`` come from ``blocking.keep``; without the fields' cosines these are
+    null.  The country is no feature.
     """
     from .blocking import margins
 
+    candidates = candidates.withColumns({c: F.lit(None).cast("double") for c in ("name_cos", "addr_cos") if c not in candidates.columns})
     pairs = attach(margins(candidates), s1, targets)
     n1, n2, a1, a2 = (F.col(c) for c in ("name_n_1", "name_n_2", "addr_n_1", "addr_n_2"))
     pairs = pairs.withColumns({"k1": nz.core(n1), "k2": nz.core(n2), "q1": nz.squash(n1), "q2": nz.squash(n2)})
@@ -88,13 +89,11 @@ def full_set(candidates: DataFrame, s1: DataFrame, targets: DataFrame, field_cos
         "addr_ratio": sim.ratio(a1, a2), "addr_token_set": sim.token_set_ratio(a1, a2), "addr_partial": sim.partial_ratio(a1, a2), "core_exact": (k1 == k2).cast("double"),
     }
     context = {"name_len1": F.length(n1), "name_len2": F.length(n2), "addr_len1": F.length(a1), "addr_len2": F.length(a2), "target_source": F.col("source_2")}
-    out = pairs.select("s1", "tgt", *[F.col(c).cast("double").alias(c) for c in ("cos", "rank_a", "rank_b", "rank_c", "addr_nn_cos", "t_top1", "t_top2", "s_top1", "margin_owner", "margin_s1", "owner_gap", "n_cand_s1", "n_cand_tgt")], *[c.cast("double").alias(k) for k, c in (strings | number_features(a1, a2) | context).items()])
+    out = pairs.select("s1", "tgt", *[F.col(c).cast("double").alias(c) for c in ("cos", "name_cos", "addr_cos", "rank_a", "rank_b", "rank_c", "addr_nn_cos", "t_top1", "t_top2", "s_top1", "margin_owner", "margin_s1", "owner_gap", "n_cand_s1", "n_cand_tgt")], *[c.cast("double").alias(k) for k, c in (strings | number_features(a1, a2) | context).items()])
     for prefix, words in (("idf", lambda n: nz.tokens(F.col(f"k{n}"))), ("addr_idf", lambda n: nz.address_words(F.col(f"addr_n_{n}")))):
         own = nz.tokens(nz.core("name_n")) if prefix == "idf" else nz.address_words("addr_n")
         out = out.join(idf_difference(pairs, token_idf(targets, own), targets, words(1), words(2), prefix), ["s1", "tgt"])
-    if field_cos is None:
-        return out.withColumns({"name_cos": F.lit(None).cast("double"), "addr_cos": F.lit(None).cast("double")})
-    return out.join(field_cos, ["s1", "tgt"], "left")
+    return out
 
 
 def number_decoys(pairs: DataFrame) -> DataFrame:

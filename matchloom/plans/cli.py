@@ -47,12 +47,11 @@ class Run:
 
     def block(self, split: str, weight: float = 1.0) -> DataFrame:
         """Both directions on the combined score, and the address channel."""
-        scores = sk.stage(bl.field_scores(self.side(split, True), self.side(split, False), weight), f"{self.work}/scores/{split}")
-        return sk.stage(bl.three_channels(scores), f"{self.work}/candidates/{split}")
+        found = sk.stage(bl.nearest_by_field(self.side(split, True), self.side(split, False), weight), f"{self.work}/nearest/{split}")
+        return sk.stage(bl.three_channels(found), f"{self.work}/candidates/{split}")
 
     def features(self, split: str, pairs: DataFrame) -> DataFrame:
-        cosines = self.spark.read.parquet(f"{self.work}/scores/{split}").select("s1", "tgt", "name_cos", "addr_cos")
-        return ft.full_set(pairs, self.side(split, True), self.side(split, False), cosines)
+        return ft.full_set(pairs, self.side(split, True), self.side(split, False))
 
     def train(self, rounds: int = 20, depth: int = 5) -> DataFrame:
         kept = bl.keep(self.block("train"))

@@ -574,9 +574,9 @@ def features18(spark, d):
 @query("features46")
 def features46(spark, d):
     s1, t = (sk.scratch(x, "records") for x in _prep(spark, d))
-    scores = sk.scratch(bl.field_scores(s1, t), "scores")
-    kept = sk.scratch(bl.keep(bl.three_channels(scores)), "kept")
-    return ft.full_set(kept, s1, t, scores.select("s1", "tgt", "name_cos", "addr_cos"))
+    found = sk.scratch(bl.nearest_by_field(s1, t), "nearest")
+    kept = sk.scratch(bl.keep(bl.three_channels(found)), "kept")
+    return ft.full_set(kept, s1, t)
 
 
 @query("label_pairs", f"{PREP} SELECT c.s1, c.tgt, CASE WHEN t.s1 IS NULL THEN 0 ELSE 1 END AS y FROM cand c LEFT JOIN truth t ON t.s1 = c.s1 AND t.tgt = c.tgt")

@@ -44,6 +44,33 @@ def test_ranks_are_dense_and_knn_is_exact(spark):
     assert sizes.isEmpty()
 
 
+def all_scores(s1, targets, weight=1.0):
+    """Every pair that shares a gram of the name or the address, through an inverted index."""
+    bags = lambda df, key: [vx.unit_length(bag, key, "country") for bag in vx.record_bags(df.withColumnRenamed("entity_id", key), key, "country")]
+    name, addr = (bl.sparse_scores(x, y) for x, y in zip(bags(s1, "s1"), bags(targets, "tgt")))
+    both = name.withColumnRenamed("score", "name_cos").join(addr.withColumnRenamed("score", "addr_cos"), ["s1", "tgt"], "full")
+    for df, key in ((s1, "s1"), (targets, "tgt")):
+        both = both.join(df.select(F.col("entity_id").alias(key), (F.col("addr_n") != "").alias(f"some_{key}")), key)
+    cos = lambda w: vx.combined_cosine(F.coalesce("name_cos", F.lit(0.0)), F.col("addr_cos"), w, F.col("some_s1"), F.col("some_tgt"))
+    return both.select("s1", "tgt", "name_cos", "addr_cos", cos(weight).alias("score"), cos(1000.0).alias("addr_score"))
+
+
+@pytest.mark.parametrize("block,inner,dense", [(1 << 14, 1024, 2048), (40, 16, 5)])
+def test_nearest_by_field_is_exact(spark, block, inner, dense, monkeypatch):
+    monkeypatch.setattr(bl, "DENSE_GRAMS", dense)
+    s1, t = (sk.scratch(x, "records") for x in q._prep(spark, SF))
+    every = sk.scratch(all_scores(s1, t), "scores")
+    found = sk.scratch(bl.nearest_by_field(s1, t, block=block, inner=inner), "nearest")
+    for way, score, per, other, k in (("a", "score", "tgt", "s1", 5), ("b", "score", "s1", "tgt", 20), ("c", "addr_score", "tgt", "s1", 2)):
+        want = bl.top(every.withColumn("score", F.col(score)), per, other, k)
+        got = bl.top(found.where(F.col("way") == way).withColumn("score", F.col(score)), per, other, k)
+        near = lambda df: {(r.s1, r.tgt, r.rank): (round(r.score, 8), round(r.name_cos or 0, 8), round(r.addr_cos or 0, 8)) for r in df.collect()}
+        want, got = near(want), near(got)
+        assert len(want) == len(got)
+        assert sum(got.get(key) == value for key, value in want.items()) >= 0.99 * len(want)  # sums in another order may swap equal scores
+        assert sorted(v[0] for v in want.values()) == pytest.approx(sorted(v[0] for v in got.values()))
+
+
 def test_top_k_ties(spark):
     scores = spark.createDataFrame([("q", "a", 0.5), ("q", "b", 0.5), ("q", "c", 0.0), ("q", "d", 0.9)], "s1 string, tgt string, score double")
     assert [r.tgt for r in bl.top_k(scores, 2, descending_id=True).orderBy("rank").collect()] == ["d", "b"]
