@@ -47,12 +47,12 @@ def union_channels(*channels: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def knn_both_ways(s1: DataFrame, targets: DataFrame, k_a: int, k_b: int, block: int = 4096) -> tuple[DataFrame, DataFrame]:
+def knn_both_ways(s1: DataFrame, targets: DataFrame, k_a: int, k_b: int, block: int = BLOCK, inner: int = 2048) -> tuple[DataFrame, DataFrame]:
     """Exact nearest neighbours by dot product within a country, in both directions.
 
     Sides have (id, country, vec).  Either side is cut into blocks by a hash; a task
-    multiplies one block with one block and gives only its own k best of either
-    direction, so no task and no shuffle ever holds all pairs.  Equal products
+    multiplies one block with one block, a part at a time, and gives only the k best of
+    each part in either direction, so no task and no shuffle ever holds all pairs.  Equal products
     (nine decimals) are ranked by id.
     """
     def blocked(df: DataFrame, own: str, other: str, other_df: DataFrame) -> DataFrame:
@@ -66,20 +66,18 @@ def knn_both_ways(s1: DataFrame, targets: DataFrame, k_a: int, k_b: int, block:
     left = left.select(*[F.col(c).alias(f"{c}_1") for c in left.columns])
     right = blocked(targets, "b", "a", s1)
 
-    def best(scores: np.ndarray, k: int, ids: np.ndarray) -> np.ndarray:
-        order = np.argsort(ids, kind="stable")
-        return order[np.argsort(-np.round(scores[:, order], 9), axis=1, kind="stable")[:, :k]]
-
     def multiply(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(y):
-            return pd.DataFrame({"s1": [], "tgt": [], "score": [], "way": []})
-        product = np.stack(x["vec_1"].to_numpy()).astype(float) @ np.stack(y["vec"].to_numpy()).astype(float).T
-        si, ti = x["id_1"].to_numpy(), y["id"].to_numpy()
-        owners, found = best(product.T, k_a, si), best(product, k_b, ti)
-        ra, rb = np.repeat(np.arange(len(ti)), owners.shape[1]), np.repeat(np.arange(len(si)), found.shape[1])
-        a = pd.DataFrame({"s1": si[owners.ravel()], "tgt": ti[ra], "score": product[owners.ravel(), ra], "way": "a"})
-        b = pd.DataFrame({"s1": si[rb], "tgt": ti[found.ravel()], "score": product[rb, found.ravel()], "way": "b"})
-        return pd.concat([a, b])
+        found = []
+        for lo in range(0, len(x) if len(y) else 0, inner):
+            si, left = x["id_1"].to_numpy()[lo : lo + inner], np.stack(x["vec_1"].to_numpy()[lo : lo + inner]).astype(float)
+            for a in range(0, len(y), inner):
+                ti, right = y["id"].to_numpy()[a : a + inner], np.stack(y["vec"].to_numpy()[a : a + inner]).astype(float)
+                product = left @ right.T
+                owners, near = _best(product.T, k_a, si), _best(product, k_b, ti)
+                ra, rb = np.repeat(np.arange(len(ti)), owners.shape[1]), np.repeat(np.arange(len(si)), near.shape[1])
+                found.append(pd.DataFrame({"s1": si[owners.ravel()], "tgt": ti[ra], "score": product[owners.ravel(), ra], "way": "a"}))
+                found.append(pd.DataFrame({"s1": si[rb], "tgt": ti[near.ravel()], "score": product[rb, near.ravel()], "way": "b"}))
+        return pd.concat(found) if found else pd.DataFrame({"s1": [], "tgt": [], "score": [], "way": []})
 
     kind = dict(s1.dtypes)["id"]
     local = left.groupBy("country_1", "a_1", "b_1").cogroup(right.groupBy("country", "a", "b")).applyInPandas(multiply, f"s1 {kind}, tgt {kind}, score double, way string")

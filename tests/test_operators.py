@@ -35,7 +35,7 @@ def test_macro_f05_cases(spark):
 
 def test_ranks_are_dense_and_knn_is_exact(spark):
     s, t = q._dense(spark, SF)
-    a, b = bl.knn_both_ways(s, t, 5, 20, block=7)
+    a, b = bl.knn_both_ways(s, t, 5, 20, block=7, inner=4)
     one = bl.knn_both_ways(s, t, 5, 20)
     for many, single in zip((a, b), one):
         key = lambda df: sorted((r.s1, r.tgt, r.rank, round(r.score, 9)) for r in df.collect())
