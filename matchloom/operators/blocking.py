@@ -24,7 +24,8 @@ def sparse_scores(queries: DataFrame, targets: DataFrame, group: str = "country"
 
     Queries have (s1, group, gram, w), targets (tgt, group, gram, w).  The sum is
     partial before the shuffle; adaptive execution splits the postings of frequent
-    grams.
+    grams.  The table has a row for every pair that shares a gram: ``sparse_top_k``
+    gives the best ones without it.
     """
     q, t = queries.withColumnRenamed("w", "w1"), targets.withColumnRenamed("w", "w2")
     return q.join(t, [group, "gram"]).groupBy("s1", "tgt").agg(F.sum(F.col("w1") * F.col("w2")).alias("score"))
@@ -160,6 +161,40 @@ def _rows_of(frame: pd.DataFrame, field: str, lo: int, hi: int) -> tuple[np.ndar
     return np.repeat(np.arange(hi - lo), size), np.concatenate([*grams, empty.astype(np.int64)]).astype(np.int64), np.concatenate([*weights, empty])
 
 
+def sparse_top_k(queries: DataFrame, targets: DataFrame, k: int, group: str = "country", descending_id: bool = False, block: int | None = None, inner: int | None = None) -> DataFrame:
+    """(s1, tgt, score, rank) of ``top_k`` over ``sparse_scores``, without a table of all scores.
+
+    A task multiplies a block of queries with a block of targets, a part at a time, and
+    gives only the k best of each part.
+    """
+    block, inner = block or BLOCK, inner or INNER
+
+    def side(df: DataFrame, key: str, other: DataFrame, other_key: str, own: str, across: str) -> DataFrame:
+        rows = df.groupBy(F.col(key).alias("id"), group).agg(F.collect_list(F.struct(F.xxhash64("gram").alias("g"), "w")).alias("l"))
+        sizes = [d.groupBy(group).agg(F.ceil(F.count_distinct(i) / block).alias(n)) for d, i, n in ((df, key, "n"), (other, other_key, "m"))]
+        rows = rows.join(F.broadcast(sizes[0]), group).join(F.broadcast(sizes[1]), group).withColumn(own, F.pmod(F.xxhash64("id"), F.col("n")))
+        return rows.select("id", group, F.col("l.g").alias("x_grams"), F.col("l.w").alias("x_weights"), own, F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias(across))
+
+    def multiply(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        found = [pd.DataFrame(columns=["s1", "tgt", "score"])]
+        parts = [(y["id"].to_numpy()[a : a + inner], _rows_of(y, "x", a, min(len(y), a + inner))) for a in range(0, len(y), inner)] if len(x) else []
+        for lo in range(0, len(x), inner):
+            si, rows = x["id"].to_numpy()[lo : lo + inner], _rows_of(x, "x", lo, min(len(x), lo + inner))
+            for ti, other in parts:
+                score = _products(rows, other, len(si), len(ti))
+                order = np.argsort(ti, kind="stable")[:: -1 if descending_id else 1]
+                best = order[np.argsort(-np.round(score[:, order], 9), axis=1, kind="stable")[:, :k]]
+                row, column = np.repeat(np.arange(len(si)), best.shape[1]), best.ravel()
+                some = score[row, column] > 0
+                found.append(pd.DataFrame({"s1": si[row[some]], "tgt": ti[column[some]], "score": score[row[some], column[some]]}))
+        return pd.concat(found[1:] or found)
+
+    left, right = side(queries, "s1", targets, "tgt", "a", "b"), side(targets, "tgt", queries, "s1", "b", "a")
+    schema = f"s1 {dict(queries.dtypes)['s1']}, tgt {dict(targets.dtypes)['tgt']}, score double"
+    local = left.groupBy(group, "a", "b").cogroup(right.groupBy(group, "a", "b")).applyInPandas(multiply, schema)
+    return top_k(local, k, descending_id=descending_id)
+
+
 def _multiplier(weight: float, cuts: tuple[int, int, int], inner: int):
     """What a task does with a block of either side: the best pairs of each channel."""
 

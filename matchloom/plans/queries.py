@@ -332,7 +332,7 @@ def _tf_topk(spark: SparkSession, d: str, field: str, k: int) -> DataFrame:
     a, b = _grams(spark, d, field)
     q = vx.unit_length(a.withColumn("w", F.col("n").cast("double")), "s1", "country")
     t = vx.unit_length(b.withColumn("w", F.col("n").cast("double")), "tgt", "country")
-    return bl.top_k(bl.sparse_scores(q, t), k, descending_id=True)
+    return bl.sparse_top_k(q, t, k, descending_id=True)
 
 
 def d_grams(side: str, field: str, key: str) -> str:
@@ -366,7 +366,7 @@ def ngram_tfidf_top1(spark, d):
     a, b = _grams(spark, d, "name_n")
     idf = vx.idf(b, _prep(spark, d)[1], "country")
     q, t = vx.tfidf_vectors(a, idf, ["country"], "s1", "country"), vx.tfidf_vectors(b, idf, ["country"], "tgt", "country")
-    return _round(bl.top_k(bl.sparse_scores(q, t), 1), "score").select("s1", "tgt", "score")
+    return _round(bl.sparse_top_k(q, t, 1), "score").select("s1", "tgt", "score")
 
 
 @query("chunked_topk", f"{PREP}, {d_topk('name_n', 1000000, 'x')} SELECT s1, tgt, CAST(source AS INT) AS chunk FROM (SELECT s1, tgt, source, row_number() OVER (PARTITION BY s1, source ORDER BY round(score, 9) DESC, tgt) AS n FROM x_s JOIN pt ON pt.entity_id = tgt) WHERE n <= 3")

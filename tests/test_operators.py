@@ -71,6 +71,16 @@ def test_nearest_by_field_is_exact(spark, block, inner, dense, monkeypatch):
         assert sorted(v[0] for v in want.values()) == pytest.approx(sorted(v[0] for v in got.values()))
 
 
+def test_sparse_top_k_equals_the_index(spark):
+    a, b = q._grams(spark, SF, "addr_n")
+    left, right = (sk.scratch(vx.unit_length(x.withColumn("w", F.col("n").cast("double")), key, "country"), "vectors") for x, key in ((a, "s1"), (b, "tgt")))
+    for descending in (False, True):
+        key = lambda df: sorted((r.s1, r.rank, r.tgt, round(r.score, 9)) for r in df.collect())
+        want = key(bl.top_k(bl.sparse_scores(left, right), 7, descending_id=descending))
+        got = key(bl.sparse_top_k(left, right, 7, descending_id=descending, block=30, inner=11))
+        assert [x[:2] + x[3:] for x in got] == [x[:2] + x[3:] for x in want] and sum(x == y for x, y in zip(got, want)) >= 0.99 * len(want)
+
+
 def test_top_k_ties(spark):
     scores = spark.createDataFrame([("q", "a", 0.5), ("q", "b", 0.5), ("q", "c", 0.0), ("q", "d", 0.9)], "s1 string, tgt string, score double")
     assert [r.tgt for r in bl.top_k(scores, 2, descending_id=True).orderBy("rank").collect()] == ["d", "b"]
