@@ -21,6 +21,7 @@ import numpy as np
 from .textarrays import BYTE_VALUES, CHAR_START, IS_SPACE, prefix_hashes, runs, span_hashes
 
 CACHE_UNITS = 3_000_000  # then the cache starts anew: about 100 MB
+JOINED = 512  # new units that go through the library as one text
 _encoders: dict[tuple[str, str], "UnitEncoder"] = {}
 
 _ASCII_VISIBLE = np.zeros(256, bool)
@@ -115,8 +116,8 @@ class UnitEncoder:
         order = np.concatenate([np.flatnonzero(regular), np.flatnonzero(~regular)])
         n = int(regular.sum())
         size, found = np.zeros(len(order), np.int64), []
-        for lo in range(0, n, 4096):
-            part = order[lo : min(n, lo + 4096)]
+        for lo in range(0, n, JOINED):
+            part = order[lo : min(n, lo + JOINED)]
             size[part] = self._joined(data, starts[part], ends[part], found)
         rest = order[n:]
         texts = [data[s:e].tobytes().decode("utf-8", "replace") for s, e in zip(starts[rest].tolist(), ends[rest].tolist())]
