@@ -41,6 +41,8 @@ _HEAD = struct.Struct("<4sIIIIQB3x")
 SHARD_IDS = 1 << 19
 #: Occurrences from which a rule pays, by bytes of a symbol.
 PAYS = {2: 5, 4: 4}
+#: A round that adds fewer than one in so many rules is the last at its count, and a round takes pairs down to one in SPAN of the most frequent.
+FEW, SPAN = 50, 6
 #: Symbols of two bytes where the vocabulary leaves room for this many rules.
 NARROW = 1 << 16
 SHARD_SCHEMA = "part int, number int, start long, n_docs int, n_ids long, payload binary"
@@ -138,7 +140,7 @@ def _merge(places: np.ndarray, rank: np.ndarray, worst: int) -> np.ndarray:
 
 
 def _frequent(symbols: np.ndarray, floor: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Places of the pairs at least a third as frequent as the most frequent one; the pairs, how often they occur, and the least count.
+    """Places of the pairs at least a sixth as frequent as the most frequent one; the pairs, how often they occur, and the least count.
 
     Counts in hashed bins are never below the true ones, so the places of rare bins
     are passed over before the exact count.  The least count is ``most`` at most.
@@ -146,7 +148,7 @@ def _frequent(symbols: np.ndarray, floor: int, most: int) -> tuple[np.ndarray, n
     a, b = symbols[:-1], symbols[1:]
     bins = ((a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA77)) >> np.uint32(14)).astype(np.int64)
     tally = np.bincount(bins, minlength=1 << 18)
-    least = min(int(tally.max()) // 3, most)
+    least = min(int(tally.max()) // SPAN, most)
     while True:
         least = max(floor, least)
         places = np.flatnonzero((tally >= least)[bins])
@@ -191,6 +193,8 @@ def compress(ids: np.ndarray, base: int, min_count: int = PAYS[2], limit: int |
             continue
         name[new] = nxt + np.arange(len(new))
         nxt += len(new)
+        if len(new) * FEW < nxt - base:  # what is left at this count overlaps: it goes with the pairs of the next one
+            most = max(min_count, least - 1)
         rules.append(used[new])
         order = np.argsort(np.concatenate([known, used[new]]))
         known, names = np.concatenate([known, used[new]])[order], np.concatenate([names, name[new]])[order]
