@@ -56,6 +56,11 @@ class UnitEncoder:
             raise ValueError(f"unknown mode {mode!r}")
         self.mode = mode
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.token_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # byte mode: a token's text has a character for each byte
+        for token, i in vocabulary.items():
+            self.token_bytes[i] = len(token.encode()) if token in special else len(token)
         self.reset()
 
     def reset(self) -> None:
@@ -140,6 +145,14 @@ class UnitEncoder:
         to = np.cumsum(length + gap) - (length + gap)
         text = np.full(int(to[-1] + length[-1]), 0x20, np.uint8)
         text[np.repeat(to, length) + _ramp(length)] = data[np.repeat(starts, length) + _ramp(length)]
+        if self.mode == "byte":  # tokens keep all bytes, so their lengths give their places
+            ids = np.array(self.tokenizer.encode_batch_fast([text.tobytes().decode("utf-8", "replace")], add_special_tokens=False)[0].ids, np.uint32)
+            size = self.token_bytes[ids]
+            ends = np.cumsum(size)
+            if ends[-1] != len(text):
+                raise ValueError("the tokenizer does not keep all bytes")
+            found.append(ids)
+            return np.diff(np.searchsorted(ends - size, np.append(to, len(text))))
         chars = np.cumsum(CHAR_START[text])
         begin = chars[to] - 1
         got = self.tokenizer.encode_batch([text.tobytes().decode("utf-8", "replace")], add_special_tokens=False)[0]
