@@ -63,6 +63,14 @@ def idf(target_counts: DataFrame, n_targets: DataFrame, *group: str) -> DataFram
     return joined.select(*group, "gram", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
+def text_idf(targets: DataFrame, text: str, terms, group: str) -> DataFrame:
+    """``idf`` of the targets' texts; the terms of a text that many targets have are made once."""
+    texts = targets.groupBy(group, text).agg(F.count("*").alias("records"))
+    df = texts.select(group, "records", F.explode(F.array_distinct(terms(F.col(text)))).alias("gram")).groupBy(group, "gram").agg(F.sum("records").alias("df"))
+    total = texts.groupBy(group).agg(F.sum("records").alias("docs"))
+    return df.join(F.broadcast(total), group).select(group, "gram", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf"))
+
+
 def tfidf_vectors(counts: DataFrame, weights: DataFrame, group: list[str], *keep: str) -> DataFrame:
     """TF-IDF vectors of unit length; terms that no target has are dropped."""
     w = counts.join(weights, [*group, "gram"]).withColumn("w", F.col("n") * F.col("idf"))
