@@ -20,9 +20,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..sources.sinks import scratch
 
-#: Queries in one task at most and at least, those handled at a time, pairs of names held, columns met at first, patterns of a task, columns met at a time, pairs of a row and a column, and levels of what patterns reach.
-MOST, LEAST, ROWS, NAMES, FIRST, PATTERNS, STEP = 1 << 16, 1 << 11, 128, 12_000_000, 1024, 2048, 2048
-CELLS, LEVELS = 1 << 20, 8
+#: Queries in one task at most and at least, those handled at a time, pairs of names held, others met at first and patterns of a task.
+MOST, LEAST, ROWS, NAMES, FIRST, PATTERNS = 1 << 16, 1 << 11, 128, 12_000_000, 64, 2048
+#: Pairs of a row and an other met at a time, pairs of words held, names from which the first others come, the cosine below which a name is a poor guide, and the part of the best reach (one in LEVELS less) that comes first.
+CELLS, TABLE, FEW, POOR, LEVELS, STEP = 1 << 18, 160_000_000, 512, 0.6, 8, 2048
+#: Others that are met by their names at least, and the part of the main rare word that tells enough.
+NEAR, ALONE = 8192, 0.6
 #: Dense columns for a product of names, the share of all pairs that must have a key for one to pay, and products added at a time.
 DENSE, SHARE, POSTINGS = 512, 50, 1 << 22
 SHIFT, NINE, SLACK = 32, 1e9, 3e-9
@@ -33,10 +36,6 @@ BY_ADDRESS = 1000.0
 WAYS = "s1 {}, tgt {}, name_cos double, addr_cos double, score double, addr_score double, way string, rank int"
 
 
-def words_of(text: str) -> list[str]:
-    return [w for w in text.split(" ") if w]
-
-
 def grams_of(word: str, low: int, high: int) -> list[str]:
     """``vectors.word_grams`` of one word of a squashed text."""
     padded = f" {REPEATED.sub(r'\1', word)} "
@@ -81,9 +80,12 @@ class Words:
 
     def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The words of the texts, one text after another, and where each text begins (and the last ends)."""
-        listed = [[self._word(w) for w in words_of(t)] for t in texts]
-        size = np.fromiter(map(len, listed), np.int64, len(listed))
-        return np.fromiter((w for t in listed for w in t), np.int64, int(size.sum())), np.concatenate([[0], np.cumsum(size)])
+        split = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        coded = split.flatten().dictionary_encode()
+        known = np.array([self._word(w) if w else -1 for w in coded.dictionary.to_pylist()], np.int64)
+        word, text = known[coded.indices.to_numpy()], np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
+        size = np.bincount(text[word >= 0], minlength=len(texts))
+        return word[word >= 0], np.concatenate([[0], np.cumsum(size)])
 
     def close(self) -> None:
         self.size = np.fromiter(map(len, self.grams), np.int64, len(self.grams))
@@ -202,48 +204,70 @@ def product(x, y, n: int, m: int, n_keys: int) -> np.ndarray:
 
 
 class _Addresses:
-    """The different addresses of the other side by their patterns, and the products of a few queries' addresses with their words."""
+    """The different addresses of the other side by their patterns, and the products of a few queries' addresses with their words.
+
+    A pattern is what an address has of frequent words, and how long its other (rare) words are.
+    """
 
     def __init__(self, x: _Side, y: _Side):
         self.words = Words(*GRAMS["addr"])
-        self.y_words, self.y_begin = self.words.texts(y.addrs)
-        self.n_words = len(self.words.grams)  # those of the other side come first
+        y_words, y_begin = self.words.texts(y.addrs)
+        n, n_words = len(y.addrs), len(self.words.grams)  # those of the other side come first
         self.x_words, self.x_begin = self.words.texts(x.addrs)
         self.words.close()
-        self.x, self.n_keys = x, len(self.words.keys)
-        n, text = len(y.addrs), np.repeat(np.arange(len(y.addrs)), np.diff(self.y_begin))
-        held = np.bincount(self.y_words, minlength=self.n_words)
+        self.x, self.n_keys, self.n_words = x, len(self.words.keys), n_words
+        size, text = np.diff(y_begin), np.repeat(np.arange(n), np.diff(y_begin))
+        held, length = np.bincount(y_words, minlength=n_words), np.fromiter(map(len, self.words.known), np.int64, len(self.words.grams))[:n_words]
+        lengths, of_length = np.unique(length, return_inverse=True)
+        mix = np.random.default_rng(1).integers(0, 1 << 64, n_words + len(lengths) + 1, np.uint64)
         for share in (256, 64, 16, 4, 0):
-            often = held > n / share if share else np.zeros(self.n_words, bool)
-            on = often[self.y_words]
-            kinds: dict[tuple, int] = {}
-            size = np.bincount(text[on], minlength=n)
-            ends = np.cumsum(size)
-            flat = self.y_words[on].tolist()
-            self.kind = np.fromiter((kinds.setdefault((s, *sorted(flat[e - k : e])), len(kinds)) for s, e, k in zip(y.some.tolist(), ends.tolist(), size.tolist())), np.int64, n)
-            if len(kinds) <= PATTERNS:
+            often = held > n / share if share else np.zeros(n_words, bool)
+            on = often[y_words]
+            mixed = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix[np.where(on, y_words, n_words + of_length[y_words])], dtype=np.uint64)])
+            mixed = mixed[y_begin[1:]] - mixed[y_begin[:-1]] + np.where(y.some, mix[-1], np.uint64(0))
+            _, first, self.kind = np.unique(mixed, return_index=True, return_inverse=True)
+            if len(first) <= PATTERNS:
                 break
-        self.often = self._padded([list(k[1:]) for k in kinds])
-        self.some = np.array([k[0] for k in kinds], bool)
-        rare, rare_text = self.y_words[~on], text[~on]
-        size = np.bincount(rare_text, minlength=n)
-        self.rare_size = size
-        self.rare = np.full((n, int(size.max(initial=0))), self.n_words)
-        self.rare[rare_text, spread(np.zeros(n, np.int64), size)] = rare
+        k = len(first)
+        order = np.lexsort((length, often))  # rare words by their length, then the frequent ones
+        self.column = np.empty(n_words, np.int64)
+        self.column[order] = np.arange(n_words)
+        edges = np.searchsorted(length[order[: int((~often).sum())]], np.append(lengths, np.inf))
+        self.classes = [(int(a), int(z)) for a, z in zip(edges[:-1], edges[1:])]
+        rows = [y_words[y_begin[i] : y_begin[i] + size[i]] for i in first]
+        self.often = self._padded([self.column[r[often[r]]].tolist() for r in rows])
+        self.some = y.some[first]
+        self.slots = np.array([np.bincount(of_length[r[~often[r]]], minlength=len(lengths)) for r in rows]).reshape(k, len(lengths))
+        rare, rare_text = self.column[y_words[~on]], text[~on]
+        self.rare_size = np.bincount(rare_text, minlength=n)
+        self.rare = np.full((int(self.rare_size.max(initial=0)), n), n_words)
+        self.rare[spread(np.zeros(n, np.int64), self.rare_size), rare_text] = rare
         self.by_gram, self.by_word = y.addr_w
-        k = len(kinds)
-        self.most_gram, self.most_word, self.most_rare = np.zeros(k), np.zeros(k), np.zeros(k, np.int64)
-        for to, v in ((self.most_gram, self.by_gram), (self.most_word, self.by_word), (self.most_rare, size)):
+        self.most_gram, self.most_word = np.zeros(k), np.zeros(k)
+        for to, v in ((self.most_gram, self.by_gram), (self.most_word, self.by_word)):
             np.maximum.at(to, self.kind, v)
-        self.not_rare = np.append(np.flatnonzero(often), self.n_words)
-        twice = np.sort(self.rare, axis=1)
-        self.twice = bool(((twice[:, 1:] == twice[:, :-1]) & (twice[:, 1:] < self.n_words)).any())
-        keys, holder = self.words.flat[: self.words.size[: self.n_words].sum()], np.repeat(np.arange(self.n_words), self.words.size[: self.n_words])
+        keys, holder = self.words.flat[: self.words.size[:n_words].sum()], np.repeat(self.column, self.words.size[:n_words])
         order = np.argsort(keys, kind="stable")
         self.holder, self.holders = holder[order], np.bincount(keys, minlength=self.n_keys)
         self.first = np.cumsum(self.holders) - self.holders
         self.word_of = np.full(self.n_keys, -1)
-        self.word_of[self.words.own_key[: self.n_words]] = np.arange(self.n_words)
+        self.word_of[self.words.own_key[:n_words]] = self.column
+        self.known, self.at = np.unique(self.x_words, return_inverse=True)
+        self.table = None
+        if len(self.known) * (n_words + 1) <= TABLE:
+            self.table = np.empty((len(self.known), n_words + 1), np.uint8)
+            for lo in range(0, len(self.known), 256):
+                part = self._common(self.known[lo : lo + 256])
+                if part.max(initial=0) > 255:  # long words that repeat a gram: made for each few queries
+                    self.table = None
+                    break
+                self.table[lo : lo + 256] = part
+
+    def _common(self, words: np.ndarray) -> np.ndarray:
+        """How often grams of the words meet grams of each of the other side's words."""
+        size = self.words.size[words]
+        key = self.words.flat[spread(self.words.first[words], size)]
+        return by_postings(np.repeat(np.arange(len(words)), size), np.ones(len(key)), self.first[key], self.holders[key], self.holder, None, len(words), self.n_words + 1)
 
     def _padded(self, lists: list[list[int]]) -> np.ndarray:
         out = np.full((len(lists), max(map(len, lists), default=0)), self.n_words)
@@ -252,39 +276,40 @@ class _Addresses:
         return out
 
     def meet(self, addrs: np.ndarray) -> None:
-        """Products of the queries' addresses with all words and patterns, and the most that an address of a pattern can reach."""
+        """Products of the queries' addresses with all words (real: for their grams, imaginary: for the words themselves) and patterns, and the most that an address of a pattern can reach."""
         n, m = len(addrs), self.n_words + 1
-        row, key, w = self.words.entries(self.x_words, self.x_begin, addrs, self.x.addr_w[0][addrs], self.x.addr_w[1][addrs])
-        self.g = by_postings(row, w, self.first[key], self.holders[key], self.holder, None, n, m)
+        size = self.x_begin[addrs + 1] - self.x_begin[addrs]
+        row, place = np.repeat(np.arange(n), size), spread(self.x_begin[addrs], size)
+        by_gram, by_word = (w[addrs] for w in self.x.addr_w)
+        if self.table is None:
+            known, at = np.unique(self.x_words[place], return_inverse=True)
+            table = self._common(known)
+        else:
+            table, at = self.table, self.at[place]
+        common, slot = np.zeros((n, m), np.float32 if self.table is not None else float), spread(np.zeros(n, np.int64), size)
+        for s in range(int(size.max(initial=0))):
+            on = slot == s
+            common[row[on]] += table[at[on]]
+        self.both = np.zeros((n, m), complex)
+        np.multiply(common, by_gram[:, None], out=self.both.real)
+        own = self.words.own_key[self.x_words[place]]
+        many = self.holders[own]
+        np.add.at(self.both.real, (np.repeat(row, many), self.holder[spread(self.first[own], many)]), np.repeat(by_word[row], many))
+        r, key, w = self.words.entries(self.x_words, self.x_begin, addrs, by_gram, by_word)
         on = self.word_of[key] >= 0
-        self.w = np.bincount(row[on] * m + self.word_of[key[on]], w[on], n * m).reshape(n, m)
-        self.kind_g, self.kind_w = (sum((t[:, self.often[:, j]] for j in range(self.often.shape[1])), np.zeros((n, len(self.often)))) for t in (self.g, self.w))
-        self.plain = self.most_gram * self.kind_g + self.most_word * self.kind_w
-        top = [self._tops(t) for t in (self.g, self.w)]
-        self.most = np.minimum(1, self.plain + self.most_gram * top[0] + self.most_word * top[1]) + SLACK
-
-    def _tops(self, table: np.ndarray) -> np.ndarray:
-        """The most that the rare words of an address of each pattern can add up to."""
-        c = self.rare.shape[1]
-        if self.twice or c > 8:
-            return np.delete(table, self.not_rare, axis=1).max(1, initial=0)[:, None] * self.most_rare
-        left, best, each = table.copy(), np.zeros((len(table), c + 1)), np.arange(len(table))
-        left[:, self.not_rare] = 0
-        for j in range(c):
-            at = left.argmax(1)
-            best[:, j + 1] = best[:, j] + left[each, at]
-            left[each, at] = 0
-        return best[:, self.most_rare]
+        np.add.at(self.both.imag, (r[on], self.word_of[key[on]]), w[on])
+        self.of_kind = sum((self.both[:, self.often[:, j]] for j in range(self.often.shape[1])), np.zeros((n, len(self.often)), complex))
+        self.plain = self.most_gram * self.of_kind.real + self.most_word * self.of_kind.imag
+        self.top_gram, self.top_word = (np.stack([t[:, a:z].max(1, initial=0) for a, z in self.classes], 1) if self.classes else np.zeros((n, 0)) for t in (self.both.real, self.both.imag))
+        self.most = np.minimum(1, self.plain + self.most_gram * (self.top_gram @ self.slots.T) + self.most_word * (self.top_word @ self.slots.T)) + SLACK
 
     def cells(self, row: np.ndarray, addr: np.ndarray) -> np.ndarray:
         """The cosines of pairs (a row of ``meet``, an address)."""
-        kind = self.kind[addr]
-        g, w = self.kind_g[row, kind], self.kind_w[row, kind]
-        for j in range(int(self.rare_size[addr].max(initial=0))):
-            word = self.rare[addr, j]
-            g += self.g[row, word]
-            w += self.w[row, word]
-        return self.by_gram[addr] * g + self.by_word[addr] * w
+        found = self.of_kind.ravel().take(row * self.of_kind.shape[1] + self.kind[addr])
+        flat, begin = self.both.ravel(), row * self.both.shape[1]
+        for rare in self.rare[: int(self.rare_size[addr].max(initial=0))]:
+            found += flat.take(begin + rare[addr])
+        return self.by_gram[addr] * found.real + self.by_word[addr] * found.imag
 
 
 def _search(x: pa.Table, y: pa.Table, ways: dict[str, tuple[float, int]], weight: float, rows: int) -> pa.Table:
@@ -314,7 +339,6 @@ def _search(x: pa.Table, y: pa.Table, ways: dict[str, tuple[float, int]], weight
             table[a : a + len(part)] = product(summed(*names.entries(words_x, begin_x, part, left.name_w[0][part], left.name_w[1][part]), n_keys), entries_y, len(part), m, n_keys)
         own = by_name[np.searchsorted(left.name[by_name], lo) : np.searchsorted(left.name[by_name], lo + len(some))]
         top = table.max(1)
-        own = own[np.argsort(_order(addresses, left)[left.addr[own]], kind="stable")]
         for a in range(0, len(own), rows):
             chunk = own[a : a + rows]
             addresses.meet(left.addr[chunk])
@@ -328,110 +352,164 @@ def _search(x: pa.Table, y: pa.Table, ways: dict[str, tuple[float, int]], weight
     return pa.concat_tables(found)
 
 
-def _order(addresses: _Addresses, left: _Side) -> np.ndarray:
-    """Places of the queries' addresses in an order that brings those with like words together: by their words, the most frequent first."""
-    if not hasattr(addresses, "order"):
-        held = np.bincount(addresses.x_words, minlength=len(addresses.words.grams))
-        rank = np.empty(len(held), np.int64)
-        rank[np.argsort(-held, kind="stable")] = np.arange(len(held))
-        placed, begin = rank[addresses.x_words].tolist(), addresses.x_begin.tolist()
-        keys = [tuple(sorted(placed[a:z])) for a, z in zip(begin[:-1], begin[1:])]
-        addresses.order = np.empty(len(keys), np.int64)
-        addresses.order[np.array(sorted(range(len(keys)), key=keys.__getitem__), np.int64)] = np.arange(len(keys))
-    return addresses.order
-
-
 class _Block:
-    """A few queries, and all others sorted by the pattern of their address."""
+    """A few queries, sorted by name, and all others sorted by the pattern of their address."""
 
     def __init__(self, addresses: _Addresses, table: np.ndarray, name: np.ndarray, top: np.ndarray, some: np.ndarray, others: "_Others"):
-        self.addresses, self.names, self.name, self.top, self.others = addresses, table[name], name, top[name], others
+        self.addresses, self.table, self.name, self.top, self.others = addresses, table, name, top[name], others
         self.some, self.n = some, len(name)
 
     def best(self, weight: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, place, rank) of the k best of each row.
 
-        First come some of the patterns that reach most, then the others: by the names
-        that are like enough, or, where the address decides, by the rare words.
+        A few likely others come first and give a floor.  Then come all that can reach
+        it: those with the likest names by name, all others by their rare words.
         """
-        of, o, square = self.addresses, self.others, weight * weight
-        self.square, self.length = square, np.sqrt(1 + square * self.some)[:, None] * np.sqrt(1 + square * of.some)
-        self.found = np.full((self.n, k), -1, np.int64)
-        reach = (self.top[:, None] + square * of.most) / self.length
-        size = np.diff(o.first)
-        kinds = np.argsort(-reach.max(0), kind="stable")
-        taken = int(np.searchsorted(np.cumsum(size[kinds]), FIRST)) + 1
-        self._all(kinds[:taken])
-        kinds = kinds[taken:]
-        level = np.floor(of.most[:, kinds].max(0) * LEVELS)
-        for v in np.unique(level)[::-1]:
-            self._level(kinds[level == v], tiers=v == level.max())
+        of = self.addresses
+        self.square = square = weight * weight
+        self.length = np.sqrt(1 + square * self.some)[:, None] * np.sqrt(1 + square * of.some)
+        self.found, self.floor = np.full((self.n, k), -1, np.int64), np.full(self.n, -1.0)
+        words = self.some & (square > 100)
+        most, done = self.top.copy(), np.zeros(of.most.shape, bool)  # of the names that are left; patterns that need no more
+        edge = np.append(np.flatnonzero(np.append(True, self.name[1:] != self.name[:-1])), self.n)
+        for a, z in zip(edge[:-1], edge[1:]):
+            rows = np.arange(a, z)[~words[a:z]]
+            if len(rows):
+                most[rows], done[rows] = self._by_name(rows, self.table[self.name[a]])
+        if words.any():
+            self._likely(np.flatnonzero(words))
+        self._by_words(most, done)
         best = -np.sort(-self.found, axis=1)
         row, rank = np.nonzero(best >= 0)
         return row, (1 << SHIFT) - 1 - (best[row, rank] & ((1 << SHIFT) - 1)), rank
 
-    def _level(self, kinds: np.ndarray, tiers: bool) -> None:
-        """The others of patterns that reach about as much."""
-        of, o, square = self.addresses, self.others, self.square
-        needed = self._floor()[:, None] * self.length[:, kinds]
-        kinds = kinds[(self.top[:, None] + square * of.most[:, kinds] >= needed).any(0)]
-        if not len(kinds):
-            return
-        if square > 100:
-            needed = self._floor()[:, None] * self.length[:, kinds] - self.top[:, None]
-            plain = of.plain[:, kinds] * square
-            direct = (plain >= needed).any(0)  # the frequent words are enough
-            self._all(kinds[direct])
-            kinds = kinds[~direct]
-            if len(kinds) and of.rare.shape[1]:
-                lack = (needed[:, ~direct] - plain[:, ~direct]).min(1) / square / of.rare.shape[1]
-                row, word = np.nonzero(of.g * of.most_gram[kinds].max() + of.w * of.most_word[kinds].max() >= lack[:, None])
-                on = word < of.n_words
-                self._lists(row[on], word[on], o.word_first, o.word_size, o.by_word, kinds)
-            return
-        near = 0.9 * self.top
-        for tier in (0, 1) if tiers else (1,):
-            edge = (self._floor()[:, None] * self.length[:, kinds] - square * of.most[:, kinds]).min(1)
-            hit = self.names >= (edge if tier else np.maximum(edge, near))[:, None]
-            if tier and tiers:
-                hit &= self.names < near[:, None]
-            row, name = np.nonzero(hit)
-            self._lists(row, name, o.name_first, o.name_size, o.by_name, kinds)
-
-    def _floor(self) -> np.ndarray:
-        return (self.found.min(1) >> SHIFT) / NINE - SLACK
-
-    def _all(self, kinds: np.ndarray) -> None:
-        """All others of the patterns, where the row can reach them."""
-        o, size = self.others, np.diff(self.others.first)
-        columns = spread(o.first[kinds], size[kinds])
-        lo, step = 0, STEP // 16
-        while lo < len(columns):
-            part = columns[lo : lo + step]
-            lo, step = lo + step, min(2 * step, STEP)
-            self._cells(np.repeat(np.arange(self.n), len(part)), np.tile(part, self.n))
-
-    def _lists(self, row: np.ndarray, key: np.ndarray, first: np.ndarray, size: np.ndarray, columns: np.ndarray, kinds: np.ndarray) -> None:
-        """The others in the lists of the keys that have one of the patterns."""
-        wanted = np.zeros(len(self.length[0]), bool)
-        wanted[kinds] = True
-        many = size[key]
-        total = np.cumsum(many)
+    def _by_name(self, rows: np.ndarray, names: np.ndarray) -> tuple[float, np.ndarray]:
+        """Others of rows with one name, by their names: the likest ones, and all where a pattern's frequent words are enough for less.
+
+        Comes back with what names are left at most, and the patterns of which nothing is left.
+        """
+        of, o = self.addresses, self.others
+        first = np.argpartition(-names, FEW)[:FEW] if len(names) > FEW else np.arange(len(names))
+        first = first[np.argsort(-names[first], kind="stable")]
+        total = np.cumsum(o.name_size[first])
+        left = least_near = names[first[min(len(first) - 1, int(np.searchsorted(total, NEAR)))]]
+        if o.name_size[names >= left].sum() > 4 * NEAR:  # too many are as like as that
+            least_near = names.min(where=names > left, initial=np.inf)
+        first = first[: int(np.searchsorted(total, FIRST)) + 1]
+        columns = o.by_name[spread(o.name_first[first], o.name_size[first])][: 4 * FIRST]
+        for lo in range(0, len(columns), max(1, CELLS // len(rows))):
+            part = columns[lo : lo + max(1, CELLS // len(rows))]
+            self._cells(np.repeat(rows, len(part)), np.tile(part, len(rows)))
+        if names[first[0]] < POOR:
+            self._likely(rows)
+        near = of.most[rows] >= (1 - 1 / LEVELS) * of.most[rows].max(1)[:, None]
+        best, done = names.max(), np.zeros(near.shape, bool)
+        for now in (near, ~near):
+            floor = self.floor[rows, None] * self.length[rows]
+            direct = now & (left + self.square * of.plain[rows] >= floor)
+            done |= direct
+            needed = floor - self.square * of.most[rows]
+            needed = np.where(now, np.where(direct, needed, np.maximum(needed, least_near)), np.inf)
+            least = needed.min(0)
+            if least.min() > best:
+                continue
+            like = np.flatnonzero(names >= least.min())
+            columns = o.by_name[spread(o.name_first[like], o.name_size[like])] if 4 * o.name_size[like].sum() < len(o.kind) else np.arange(len(o.kind))
+            n, kind = names[o.name[columns]], o.kind[columns]
+            on = np.flatnonzero(n >= least[kind])
+            columns, n, kind = columns[on], n[on], kind[on]
+            if len(rows) == 1:
+                for lo in range(0, len(columns), CELLS):
+                    part = columns[lo : lo + CELLS]
+                    self._cells(np.full(len(part), rows[0]), part)
+                continue
+            key = 4 * kind + (1.5 - n)  # the patterns' others, those with the best names first
+            order = np.argsort(key)
+            columns, key = columns[order], key[order]
+            begin = np.searchsorted(key, 4 * np.arange(len(least)))
+            i, k = np.nonzero(needed <= best)
+            end = np.searchsorted(key, 4 * k + (1.5 - np.clip(needed[i, k], -1, 2)) + SLACK, "right")
+            self._lists(rows[i], columns, begin[k], np.maximum(end - begin[k], 0))
+        return left, done
+
+    def _likely(self, rows: np.ndarray) -> None:
+        """The others that have the best rare word of a length, of the patterns that reach most."""
+        of, o = self.addresses, self.others
+        few = min(4, of.most.shape[1])
+        kinds = np.argpartition(-of.most[rows], few - 1, axis=1)[:, :few]
+        worth = np.abs(of.both[rows]) if len(rows) < self.n else np.abs(of.both)
+        for a, z in of.classes:
+            if z > a:
+                word = a + worth[:, a:z].argmax(1)
+                for j in range(few):
+                    begin, size = o.having(word, kinds[:, j])
+                    self._lists(rows, o.by_word, begin, np.minimum(size, FIRST // 8 + 1))
+
+    def _by_words(self, most: np.ndarray, done: np.ndarray) -> None:
+        """Others with names like ``most`` at most: all of a pattern whose frequent words are enough, else by the rare words."""
+        of, o = self.addresses, self.others
+        near = of.most >= (1 - 1 / LEVELS) * of.most.max(1)[:, None]
+        size = np.diff(o.first)
+        for now in (near, ~near):
+            needed = (self.floor[:, None] * self.length - most[:, None]) / self.square - SLACK
+            now = now & ~done & (of.most >= needed)
+            direct = now & (of.plain >= needed)
+            i, k = np.nonzero(direct)
+            self._lists(i, np.arange(len(o.kind)), o.first[k], size[k])
+            row, kind = np.nonzero(now & ~direct)
+            # An address lacks so much; of what its words can add, each length has its share, and one word has its part of the lack.
+            lack = needed[row, kind] - of.plain[row, kind]
+            tops = (of.most_gram[kind, None] * of.top_gram[row] + of.most_word[kind, None] * of.top_word[row]) * of.slots[kind]
+            total = tops.sum(1)
+            main = tops.argmax(1)
+            each = np.arange(len(row))
+            alone = (lack - total + tops[each, main]) / np.maximum(of.slots[kind, main], 1)
+            edge = np.where(of.slots[kind] > 0, (lack / np.maximum(total, SLACK))[:, None] * tops / np.maximum(of.slots[kind], 1), np.inf)
+            only = alone > ALONE * tops[each, main] / np.maximum(of.slots[kind, main], 1)  # words of the main length are enough to tell
+            edge[only] = np.inf
+            edge[only, main[only]] = alone[only]
+            edge = edge - SLACK
+            for c, (a, z) in enumerate(of.classes):
+                on = np.flatnonzero(edge[:, c] < np.inf)
+                if z > a and len(on):
+                    self._rare(row[on], kind[on], edge[on, c], a, z)
+
+    def _rare(self, row: np.ndarray, kind: np.ndarray, edge: np.ndarray, a: int, z: int) -> None:
+        """Others of a row and a pattern with a word from a to z that is worth so much at least; sorted by row."""
+        of, o = self.addresses, self.others
+        rows, first, many = np.unique(row, return_index=True, return_counts=True)
+        least = np.minimum.reduceat(edge, first)
+        part = of.both[rows, a:z]
+        i, word = np.nonzero(part.real * of.most_gram[kind].max() + part.imag * of.most_word[kind].max() >= least[:, None])
+        worth = part[i, word]
+        total = np.cumsum(many[i])
+        for lo in range(0, int(total[-1]) if len(total) else 0, CELLS):
+            b, e = np.searchsorted(total, (lo, lo + CELLS), "right")
+            n = many[i[b:e]]
+            at, w = spread(first[i[b:e]], n), np.repeat(worth[b:e], n)
+            k = kind[at]
+            on = np.flatnonzero(w.real * of.most_gram[k] + w.imag * of.most_word[k] >= edge[at])
+            begin, size = o.having(np.repeat(a + word[b:e], n)[on], k[on])
+            self._lists(row[at[on]], o.by_word, begin, size)
+
+    def _lists(self, row: np.ndarray, columns: np.ndarray, first: np.ndarray, size: np.ndarray) -> None:
+        """The others in a part of the columns for each row."""
+        on = size > 0
+        row, first, size = row[on], first[on], size[on]
+        total = np.cumsum(size)
         for lo in range(0, int(total[-1]) if len(total) else 0, CELLS):
             a, z = np.searchsorted(total, (lo, lo + CELLS), "right")
-            column, i = columns[spread(first[key[a:z]], many[a:z])], np.repeat(row[a:z], many[a:z])
-            on = wanted[self.others.kind[column]]
-            self._cells(i[on], column[on])
+            self._cells(np.repeat(row[a:z], size[a:z]), columns[spread(first[a:z], size[a:z])])
 
     def _cells(self, i: np.ndarray, j: np.ndarray) -> None:
         """Brings pairs (row, other) into ``found``: score at nine decimals, then the place of the id."""
         of, o, k = self.addresses, self.others, self.found.shape[1]
-        kind, name = o.kind[j], self.names[i, o.name[j]]
-        length = self.length[i, kind]
-        needed = self._floor()[i] * length
-        on = np.flatnonzero(name + self.square * of.most[i, kind] >= needed)
-        i, j, name, length, needed = i[on], j[on], name[on], length[on], needed[on]
         cos = of.cells(i, o.addr[j])
+        length = self.length.ravel().take(i * self.length.shape[1] + o.kind[j])
+        needed = self.floor[i] * length
+        on = np.flatnonzero(self.top[i] + self.square * cos >= needed)
+        i, j, cos, length, needed = i[on], j[on], cos[on], length[on], needed[on]
+        name = self.table.ravel().take(self.name[i] * self.table.shape[1] + o.name[j])
         score = name + self.square * cos
         on = np.flatnonzero((score >= needed) & ((name > 0) | (cos > 0)))
         i = i[on]
@@ -450,10 +528,11 @@ class _Block:
             new = np.sort(np.concatenate([self.found[rows], new], axis=1), axis=1)
             new[:, :-1][new[:, :-1] == new[:, 1:]] = -1
             self.found[rows] = np.sort(new, axis=1)[:, new.shape[1] - k :]
+            self.floor[rows] = (self.found[rows].min(1) >> SHIFT) / NINE - SLACK
 
 
 class _Others:
-    """The other side's records by pattern, with lists of those of a name and of a rare word."""
+    """The other side's records by pattern, with lists of those of a name, and of a rare word and pattern."""
 
     def __init__(self, right: _Side, addresses: _Addresses):
         self.place = np.argsort(addresses.kind[right.addr], kind="stable")
@@ -463,8 +542,22 @@ class _Others:
         self.by_name = np.argsort(self.name, kind="stable")
         self.name_size = np.bincount(self.name, minlength=len(right.names))
         self.name_first = np.cumsum(self.name_size) - self.name_size
-        column, slot = np.nonzero(addresses.rare[self.addr] < addresses.n_words)
-        word = addresses.rare[self.addr[column], slot]
-        self.by_word = column[np.argsort(word, kind="stable")]
-        self.word_size = np.bincount(word, minlength=addresses.n_words)
-        self.word_first = np.cumsum(self.word_size) - self.word_size
+        slot, column = np.nonzero(addresses.rare[:, self.addr] < addresses.n_words)
+        self.kinds = len(addresses.often)
+        key = addresses.rare[slot, self.addr[column]] * self.kinds + self.kind[column]
+        order = np.argsort(key, kind="stable")
+        self.by_word = column[order]
+        self.keys, self.key_size = np.unique(key, return_counts=True)
+        self.key_first = np.cumsum(self.key_size) - self.key_size
+        self.at = None
+        if addresses.n_words * self.kinds <= TABLE // 16:
+            self.at = np.full(addresses.n_words * self.kinds, -1, np.int32)
+            self.at[self.keys] = np.arange(len(self.keys))
+
+    def having(self, word: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the others with the word and the pattern begin in ``by_word``, and their number."""
+        key = word * self.kinds + kind
+        if not len(self.keys):
+            return np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1) if self.at is None else self.at[key]
+        return self.key_first[at], np.where(self.keys[at] == key, self.key_size[at], 0)

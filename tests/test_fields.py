@@ -56,6 +56,23 @@ def test_not_every_pair_is_multiplied(spark, monkeypatch):
     assert sum(cells) < 0.5 * x.num_rows * y.num_rows
 
 
+def test_rare_words_and_likely_names_bound_what_is_multiplied(spark, monkeypatch):
+    """Before, 35 % of these pairs were multiplied, and words of patterns were looked up for all of a word's addresses."""
+    s1, t = (sk.scratch(x, "records") for x in q._prep(spark, "/root/testdata/sf0.01"))
+    x, y = (pq.read_table(fl.measured(df.where("country = 'US'")).inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]) for df in (s1, t))
+    cells = []
+    plain = fl._Addresses.cells
+    monkeypatch.setattr(fl._Addresses, "cells", lambda self, i, j: cells.append(len(i)) or plain(self, i, j))
+    monkeypatch.setattr(fl, "FIRST", 64)
+    whole = fl._search(x, y, {"b": (1.0, 20)}, 1.0, 64)
+    assert sum(cells) < 0.3 * x.num_rows * y.num_rows
+    for name, value in {"NEAR": 20, "FEW": 30, "TABLE": 1, "POOR": 2.0, "ALONE": 0.1}.items():  # other ways to the same pairs
+        monkeypatch.setattr(fl, name, value)
+    other = fl._search(x, y, {"b": (1.0, 20)}, 1.0, 64)
+    key = lambda found: sorted(zip(found["query"].to_pylist(), found["rank"].to_pylist(), np.round(found["score"].to_numpy(), 8).tolist()))
+    assert key(other) == key(whole)
+
+
 def test_channels_in_one_pass_equal_the_joined_ones(spark, sides):
     found = sk.scratch(bl.nearest_by_field(*sides[:2], block=20, inner=7), "nearest")
     of = lambda way, score: found.where(F.col("way") == way).select("s1", "tgt", F.col(score).alias("score"), "rank")
